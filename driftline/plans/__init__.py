@@ -36,4 +36,4 @@ EVENTS_CTE = """WITH ev AS (
 
 def load() -> None:
     """Import every module of queries."""
-    from . import audits, filters, joins, pipelines, profiles, tracks, windows  # noqa: F401
+    from . import filters, joins, profiles, windows  # noqa: F401
