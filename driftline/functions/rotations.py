@@ -1,4 +1,8 @@
-"""Quaternions (w, x, y, z), vectors and 3 x 3 matrices as array Columns."""
+"""Quaternions (w, x, y, z), vectors and 3 x 3 matrices as array Columns.
+
+Pass columns, not long expressions: each function refers to its arguments many
+times, so keep each step as a column of its own (``withColumn``).
+"""
 
 from __future__ import annotations
 
@@ -82,7 +86,7 @@ def quat_of_matrix(m: Column) -> Column:
         return F.array(*[s / 4 if x is None else x / s for x in rows[k]])
 
     q = F.when(squares[0] == best, quat(0)).when(squares[1] == best, quat(1)).when(squares[2] == best, quat(2)).otherwise(quat(3))
-    return F.transform(q, lambda x: F.when(q[0] < 0, -x).otherwise(x))
+    return F.aggregate(F.array(q), F.lit(None).cast("array<double>"), lambda _, p: F.when(p[0] < 0, F.transform(p, lambda x: -x)).otherwise(p))
 
 
 def rotation_angle(m: Column) -> Column:
