@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from driftline.functions.geodesy import planar
@@ -12,8 +12,17 @@ from driftline.sources.tables import HOUR_US, channel, events, table
 
 from . import query
 
-SESSION = Window.partitionBy("user_id").orderBy("t_us", "event_id")
-SO_FAR = SESSION.rowsBetween(Window.unboundedPreceding, 0)
+
+
+def session() -> WindowSpec:
+    """A session's rows in the order of time."""
+    return Window.partitionBy("user_id").orderBy("t_us", "event_id")
+
+
+def so_far() -> WindowSpec:
+    return session().rowsBetween(Window.unboundedPreceding, 0)
+
+
 OVER = "OVER (PARTITION BY user_id ORDER BY t_us, event_id"
 
 
@@ -23,7 +32,7 @@ SELECT event_id, user_id, round_even(d, 6) AS detrended, round_even(avg(d * d) {
 def rolling_bandpower(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Causal: the rolling mean of squares of the signal less its rolling mean."""
     ev = events(spark, sf_dir).select("event_id", "user_id", "t_us", "value")
-    detrended, power = windows.rolling_bandpower("value", SESSION, 10)
+    detrended, power = windows.rolling_bandpower("value", session(), 10)
     return ev.withColumn("detrended", detrended).withColumn("power", power).select("event_id", "user_id", r(F.col("detrended")).alias("detrended"), r(F.col("power") + 1e-9).alias("power"))
 
 
@@ -33,7 +42,7 @@ SELECT event_id, user_id, round_even(avg(value) {OVER} ROWS BETWEEN 3 PRECEDING
 def moving_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A centred mean of even width, and a trailing one that is null until it is full."""
     ev = events(spark, sf_dir)
-    return ev.select("event_id", "user_id", r(windows.centred_mean("value", SESSION, 6)).alias("smooth"), r(windows.full_mean("value", SESSION, 5)).alias("full5"))
+    return ev.select("event_id", "user_id", r(windows.centred_mean("value", session(), 6)).alias("smooth"), r(windows.full_mean("value", session(), 5)).alias("full5"))
 
 
 @query(f"""
@@ -41,8 +50,8 @@ def moving_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT event_id, user_id, round_even(sum(area) {OVER} ROWS UNBOUNDED PRECEDING), 4) AS integral FROM s""")
 def cumulative_trapezoid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The running integral of the signal, in value hours."""
-    ev = events(spark, sf_dir).select("event_id", "user_id", "t_us", "value").withColumn("area", windows.trapezoid("value", "t_us", SESSION, float(HOUR_US)))
-    return ev.select("event_id", "user_id", r(F.sum("area").over(SO_FAR), 4).alias("integral"))
+    ev = events(spark, sf_dir).select("event_id", "user_id", "t_us", "value").withColumn("area", windows.trapezoid("value", "t_us", session(), float(HOUR_US)))
+    return ev.select("event_id", "user_id", r(F.sum("area").over(so_far()), 4).alias("integral"))
 
 
 @query(f"""
@@ -50,7 +59,7 @@ def cumulative_trapezoid(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT event_id, user_id, round_even(CASE WHEN y0 IS NOT NULL AND y2 IS NOT NULL THEN (a * a * y2 + (b * b - a * a) * y1 - b * b * y0) / (a * b * (a + b)) WHEN y2 IS NOT NULL THEN (y2 - y1) / b ELSE (y1 - y0) / a END, 3) AS slope FROM n""")
 def numeric_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = events(spark, sf_dir)
-    return ev.select("event_id", "user_id", r(windows.gradient("value", "t_us", SESSION, float(HOUR_US)), 3).alias("slope"))
+    return ev.select("event_id", "user_id", r(windows.gradient("value", "t_us", session(), float(HOUR_US)), 3).alias("slope"))
 
 
 @query(f"""
@@ -60,16 +69,16 @@ d AS (SELECT event_id, user_id, sum(CASE WHEN step <= 0 OR step > 259200000000 T
 SELECT event_id, user_id, round_even(d, 4) AS slope FROM d WHERE bad = 0 AND d IS NOT NULL""")
 def span_derivative(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Differences over two rows each way, where no step between is over three days."""
-    ev = events(spark, sf_dir).select("event_id", "user_id", "t_us", "value").withColumn("step", F.col("t_us") - F.lag("t_us").over(SESSION))
-    return ev.select("event_id", "user_id", r(windows.span_derivative("value", "t_us", SESSION, 2, 72 * HOUR_US, float(HOUR_US)), 4).alias("slope")).filter("slope IS NOT NULL")
+    ev = events(spark, sf_dir).select("event_id", "user_id", "t_us", "value").withColumn("step", F.col("t_us") - F.lag("t_us").over(session()))
+    return ev.select("event_id", "user_id", r(windows.span_derivative("value", "t_us", session(), 2, 72 * HOUR_US, float(HOUR_US)), 4).alias("slope")).filter("slope IS NOT NULL")
 
 
 @query(f"""
 , s AS (SELECT event_id, user_id, t_us, bearing, coalesce(-360 * floor((bearing - lag(bearing) {OVER}) + 180) / 360), 0) AS jump FROM ev)
 SELECT event_id, user_id, bearing + sum(jump) {OVER} ROWS UNBOUNDED PRECEDING) AS unwrapped FROM s""")
 def heading_unwrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = events(spark, sf_dir).select("event_id", "user_id", "t_us", "bearing").withColumn("jump", windows.unwrapped("bearing", SESSION).cast("double"))
-    return ev.select("event_id", "user_id", (F.col("bearing") + F.sum("jump").over(SO_FAR)).alias("unwrapped"))
+    ev = events(spark, sf_dir).select("event_id", "user_id", "t_us", "bearing").withColumn("jump", windows.unwrapped("bearing", session()).cast("double"))
+    return ev.select("event_id", "user_id", (F.col("bearing") + F.sum("jump").over(so_far())).alias("unwrapped"))
 
 
 @query(f"""
@@ -80,9 +89,9 @@ g AS (SELECT event_id, user_id, value, (m - lag(m) {OVER})) / ((t_us - lag(t_us)
 SELECT event_id, user_id, round_even(CASE WHEN value < 3 THEN 0 ELSE rate END, 3) AS rate FROM g WHERE rate IS NOT NULL""")
 def turn_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unwrap, smooth over ten rows, differentiate, and zero it at low speed."""
-    ev = events(spark, sf_dir).select("event_id", "user_id", "t_us", "value", "bearing").withColumn("jump", windows.unwrapped("bearing", SESSION).cast("double"))
-    u = ev.withColumn("u", F.col("bearing") + F.sum("jump").over(SO_FAR)).withColumn("m", F.avg("u").over(SESSION.rowsBetween(-9, 0)))
-    rate = (F.col("m") - F.lag("m").over(SESSION)) / ((F.col("t_us") - F.lag("t_us").over(SESSION)) / F.lit(float(HOUR_US)))
+    ev = events(spark, sf_dir).select("event_id", "user_id", "t_us", "value", "bearing").withColumn("jump", windows.unwrapped("bearing", session()).cast("double"))
+    u = ev.withColumn("u", F.col("bearing") + F.sum("jump").over(so_far())).withColumn("m", F.avg("u").over(session().rowsBetween(-9, 0)))
+    rate = (F.col("m") - F.lag("m").over(session())) / ((F.col("t_us") - F.lag("t_us").over(session())) / F.lit(float(HOUR_US)))
     return u.withColumn("rate", rate).filter("rate IS NOT NULL").select("event_id", "user_id", r(F.when(F.col("value") < 3, 0.0).otherwise(F.col("rate")), 3).alias("rate"))
 
 
@@ -92,8 +101,8 @@ s AS (SELECT *, coalesce(sqrt(pow(radians(lon - lon0) * cos(radians(lat0)) * 637
 SELECT event_id, user_id, round_even(sum(step) {OVER} ROWS UNBOUNDED PRECEDING), 2) AS travelled_m FROM s""")
 def travelled_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = events(spark, sf_dir).select("event_id", "user_id", "t_us", "lat", "lon")
-    step = F.coalesce(planar(F.lag("lat").over(SESSION), F.lag("lon").over(SESSION), F.col("lat"), F.col("lon")), F.lit(0.0))
-    return ev.withColumn("step", step).select("event_id", "user_id", r(F.sum("step").over(SO_FAR), 2).alias("travelled_m"))
+    step = F.coalesce(planar(F.lag("lat").over(session()), F.lag("lon").over(session()), F.col("lat"), F.col("lon")), F.lit(0.0))
+    return ev.withColumn("step", step).select("event_id", "user_id", r(F.sum("step").over(so_far()), 2).alias("travelled_m"))
 
 
 @query(f"""
@@ -154,9 +163,9 @@ def trail_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tracks cut at gaps and where they leave the covered area."""
     ev = events(spark, sf_dir).select("user_id", "event_id", "t_us", "lat")
     out_of = F.col("lat") > 12.99
-    gap = (F.col("t_us") - F.lag("t_us").over(SESSION) > 24 * HOUR_US) | ~out_of.eqNullSafe(F.lag(out_of).over(SESSION))
-    cut = F.when(F.lag("t_us").over(SESSION).isNull() | gap, 1).otherwise(0)
-    parts = ev.withColumn("cut", cut).withColumn("part", F.sum("cut").over(SO_FAR))
+    gap = (F.col("t_us") - F.lag("t_us").over(session()) > 24 * HOUR_US) | ~out_of.eqNullSafe(F.lag(out_of).over(session()))
+    cut = F.when(F.lag("t_us").over(session()).isNull() | gap, 1).otherwise(0)
+    parts = ev.withColumn("cut", cut).withColumn("part", F.sum("cut").over(so_far()))
     return parts.filter(~out_of).groupBy("user_id", "part").agg(F.min("t_us").alias("start_us"), F.max("t_us").alias("end_us"), F.count("*").alias("n"))
 
 
@@ -204,7 +213,7 @@ FROM p WHERE t_us - t0 > 0 AND t_us - t0 <= 54000000000""")
 def fix_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Time, displacement and change since the fix before, if that is under fifteen hours old."""
     ev = events(spark, sf_dir)
-    was = lambda c: F.lag(c).over(SESSION)
+    was = lambda c: F.lag(c).over(session())
     dt = F.col("t_us") - was("t_us")
     rows = ev.select("event_id", "user_id", dt.alias("dt"), (F.col("value") - was("value")).alias("dv"), planar(was("lat"), was("lon"), F.col("lat"), F.col("lon")).alias("m"))
     return rows.filter((F.col("dt") > 0) & (F.col("dt") <= 15 * HOUR_US)).select("event_id", "user_id", r(F.col("dt") / 3.6e9).alias("dt_h"), r(F.col("dv")).alias("dv"), r(F.col("m"), 3).alias("moved_m"))
@@ -227,7 +236,7 @@ SELECT event_id, user_id, was, state FROM s WHERE was IS DISTINCT FROM state""")
 def quality_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each change of state."""
     state = F.when(F.col("value") > 120, "poor").when(F.col("value") > 40, "fair").otherwise("good")
-    rows = events(spark, sf_dir).select("event_id", "user_id", "t_us", state.alias("state")).withColumn("was", F.lag("state").over(SESSION))
+    rows = events(spark, sf_dir).select("event_id", "user_id", "t_us", state.alias("state")).withColumn("was", F.lag("state").over(session()))
     return rows.filter(~F.col("was").eqNullSafe(F.col("state"))).select("event_id", "user_id", "was", "state")
 
 

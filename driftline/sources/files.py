@@ -28,13 +28,26 @@ def sniffed_encoding(spark: SparkSession, path: str, prefix: int = 20_000) -> st
     return ENCODINGS[-1]
 
 
+def _western(df: DataFrame) -> DataFrame:
+    """Text read as ISO-8859-1 as what it is in windows-1252: they differ in the control range alone."""
+    pairs = [(chr(i), bytes([i]).decode("windows-1252", "ignore")) for i in range(0x80, 0xA0)]
+    was, now = ("".join(x) for x in zip(*[p for p in pairs if p[1]], strict=True))
+    return df.select(*[F.translate(F.col(f"`{c}`"), was, now).alias(c) for c in df.columns])
+
+
 def read_csv(spark: SparkSession, path: str, names: dict[str, str], *, encoding: str | None = None) -> DataFrame:
     """A CSV with headers mapped to names; unknown, missing and repeated ones are errors.
 
     ``names`` maps header texts (white space and case do not matter) to column names.
     """
     encoding = encoding or sniffed_encoding(spark, path)
-    raw = spark.read.csv(path, header=False, encoding=encoding)
+    west = encoding == "windows-1252"  # not among Spark's character sets
+
+    def read(header: bool) -> DataFrame:
+        df = spark.read.csv(path, header=header, encoding="ISO-8859-1" if west else encoding)
+        return _western(df) if west else df
+
+    raw = read(False)
     first = raw.limit(1).select(*[header_key(F.regexp_replace(c, "^﻿", "")).alias(c) for c in raw.columns]).first()
     known = {" ".join(k.split()).lower(): v for k, v in names.items()}
     heads = [first[c] for c in raw.columns]
@@ -42,7 +55,7 @@ def read_csv(spark: SparkSession, path: str, names: dict[str, str], *, encoding:
         raise ValueError(f"unknown headers: {unknown}")
     if len(set(heads)) != len(heads) or set(known) - set(heads):
         raise ValueError(f"repeated or missing headers: {heads}")
-    return spark.read.csv(path, header=True, encoding=encoding).toDF(*[known[h] for h in heads])
+    return read(True).toDF(*[known[h] for h in heads])
 
 
 def read_truth(spark: SparkSession, path: str) -> DataFrame:
