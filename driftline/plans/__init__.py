@@ -36,4 +36,4 @@ EVENTS_CTE = """WITH ev AS (
 
 def load() -> None:
     """Import every module of queries."""
-    from . import audits, filters, joins, profiles, streams, tracks, windows  # noqa: F401
+    from . import audits, calibration, filters, joins, profiles, streams, tracks, windows  # noqa: F401
