@@ -56,29 +56,34 @@ def pieces(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", capac
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)[doc_id]}, piece int, start long, length long, ids binary")
 
 
-def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 4000) -> list[tuple[float, np.ndarray]]:
-    """(times, how many of each size): a basic optimum of the covering programme, by column generation."""
+def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 4000, gap: float = 1e-3) -> list[tuple[float, np.ndarray]]:
+    """(times, how many of each size): a basic solution of the covering programme, by column generation.
+
+    It ends within ``gap`` of the optimum, by Farley's bound: the worth of the
+    best configuration at the present prices scales the cost down to a bound.
+    """
     n = len(sizes)
     basis = np.diag((capacity // sizes).astype(float))
     cost = np.ones(n)
     inverse = np.diag(1 / np.diag(basis))
     x = inverse @ counts
-    reach = np.arange(capacity + 1)[:, None] - sizes[None, :]
-    ok, reach = reach >= 0, np.maximum(reach, 0)
 
     def best(y: np.ndarray) -> tuple[float, np.ndarray]:
+        """The configuration worth most: one more item at a time, for every free length at once."""
         value, choices = np.zeros(capacity + 1), []
         for _ in range(int(capacity // sizes.min())):
-            offer = np.where(ok, value[reach] + y, -1.0)
-            pick = offer.argmax(axis=1)
-            top = offer[np.arange(capacity + 1), pick]
-            better = top > value + 1e-12
-            if not better.any():
+            top, pick = value.copy(), np.full(capacity + 1, -1, np.int16)
+            for g in range(n):
+                offer = value[: capacity + 1 - sizes[g]] + y[g]
+                more = offer > top[sizes[g] :] + 1e-12
+                np.copyto(top[sizes[g] :], offer, where=more)
+                pick[sizes[g] :][more] = g
+            if (pick < 0).all():
                 break
-            choices.append((np.where(better, pick, -1), value))
-            value = np.where(better, top, value)
+            choices.append(pick)
+            value = top
         a, c = np.zeros(n), capacity
-        for pick, _ in reversed(choices):
+        for pick in reversed(choices):
             if pick[c] >= 0:
                 a[pick[c]] += 1
                 c -= int(sizes[pick[c]])
@@ -91,7 +96,7 @@ def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds:
         else:
             worth, enter = best(np.maximum(y, 0))
             price = 1.0
-            if worth <= 1 + 1e-6:
+            if worth <= 1 + gap:
                 break
         w = inverse @ enter
         grows = w > 1e-9
