@@ -83,7 +83,7 @@ def outage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT user_id, round_even(sum(value * sin(radians(bearing)) * dt), 2) AS east, round_even(sum(value * cos(radians(bearing)) * dt), 2) AS north,
   round_even(sum((value - v0) * sin(radians(bearing)) * dt), 2) AS speed_part, round_even(sum(v0 * (sin(radians(bearing)) - sin(radians(b0))) * dt), 2) AS heading_part FROM p GROUP BY user_id""")
 def drift_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dead-reckoned displacement, and what of its change comes from speed and from heading."""
+    """Displacement from speed and heading, and what of its change comes from speed and from heading."""
     w = Window.partitionBy("user_id").orderBy("t_us", "event_id")
     rows = events(spark, sf_dir).select("user_id", "value", "bearing", ((F.col("t_us") - F.lag("t_us").over(w)) / F.lit(3.6e9)).alias("dt"), F.lag("value").over(w).alias("v0"), F.lag("bearing").over(w).alias("b0"))
     s, c, s0 = F.sin(F.radians("bearing")), F.cos(F.radians("bearing")), F.sin(F.radians("b0"))
@@ -93,13 +93,13 @@ def drift_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 , k AS (SELECT event_id, (t_us - lag(t_us) OVER w) / 3.6e9 AS age, row_number() OVER w AS k, count(*) FILTER (event_type = 'view') OVER (PARTITION BY user_id ORDER BY t_us, event_id ROWS UNBOUNDED PRECEDING) AS fixes, event_type FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY t_us, event_id))
-SELECT event_id, CASE WHEN fixes = 0 THEN 'initialising' WHEN age > 24 THEN 'dead_reckoning' WHEN event_type = 'view' AND age > 12 THEN 'recovery' WHEN event_type = 'view' THEN 'gnss' ELSE 'fused' END AS mode FROM k""")
+SELECT event_id, CASE WHEN fixes = 0 THEN 'initialising' WHEN age > 24 THEN 'unaided' WHEN event_type = 'view' AND age > 12 THEN 'recovery' WHEN event_type = 'view' THEN 'gnss' ELSE 'fused' END AS mode FROM k""")
 def localization_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("t_us", "event_id")
     fixes = F.count_if(F.col("event_type") == "view").over(w.rowsBetween(Window.unboundedPreceding, 0))
     rows = events(spark, sf_dir).select("event_id", "event_type", ((F.col("t_us") - F.lag("t_us").over(w)) / F.lit(3.6e9)).alias("age"), fixes.alias("fixes"))
     view = F.col("event_type") == "view"
-    mode = F.when(F.col("fixes") == 0, "initialising").when(F.col("age") > 24, "dead_reckoning").when(view & (F.col("age") > 12), "recovery").when(view, "gnss").otherwise("fused")
+    mode = F.when(F.col("fixes") == 0, "initialising").when(F.col("age") > 24, "unaided").when(view & (F.col("age") > 12), "recovery").when(view, "gnss").otherwise("fused")
     return rows.select("event_id", mode.alias("mode"))
 
 
