@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -58,7 +59,28 @@ def words(text: Column | str) -> Column:
     return F.coalesce(F.regexp_count(c, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def blocks(batches: Iterator[pa.RecordBatch], text: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df``, to be handed to Python in batches that fit beside it in an executor.
+
+    Spark's default of 10,000 rows is meant for narrow rows. Whole texts come
+    by a thousand rows and 8 MB at most. These are settings of the session.
+    """
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
+    return df
+
+
+def _give_back() -> None:
+    """Return freed memory to the system: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def blocks(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about ``most`` bytes of text each, one row at least."""
     for batch in batches:
         if not batch.num_rows:
@@ -71,6 +93,7 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str, most: int = 2 << 20) ->
             to = max(at + 1, int(total.searchsorted(base + most, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    _give_back()
 
 
 def fresh(taken: list[str], *names: str) -> list[str]:

@@ -36,7 +36,7 @@ class _Pieces(dict):
 class Encoder:
     """ids of a ``tokenizers`` file, by its twin of ranks where a text has no special cases."""
 
-    def __init__(self, path: str, cache: int = 300_000) -> None:
+    def __init__(self, path: str, cache: int = 100_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import tiktoken
         from public_tokenizers import PATTERN

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import blocks, stored
+from ._common import blocks, stored, text_batches
 from .encoding import encoder
 
 
@@ -53,7 +53,7 @@ def pieces(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", capac
                     at, k = to, k + 1
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "piece", "start", "length", "ids"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)[doc_id]}, piece int, start long, length long, ids binary")
+    return text_batches(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).mapInArrow(run, f"doc_id {dict(docs.dtypes)[doc_id]}, piece int, start long, length long, ids binary")
 
 
 def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 4000, gap: float = 1e-3) -> list[tuple[float, np.ndarray]]:

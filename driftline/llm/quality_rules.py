@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import IS_SPACE, LOWER, mixed, spans, utf8, xxh64
-from ._common import SPACE, blocks, stored
+from ._common import SPACE, blocks, stored, text_batches
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -103,7 +103,7 @@ def quality_rules(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     spark = docs.sparkSession
     key = dict(docs.dtypes)[doc_id]
     seen = stored(
-        docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(host).alias("host"), F.xxhash64(text).alias("content"), F.col(text).alias("text"))
+        text_batches(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(host).alias("host"), F.xxhash64(text).alias("content"), F.col(text).alias("text")))
         .mapInArrow(_measured, f"doc_id {key}, host long, content long, {MEASURES}, lines array<struct<line:long,words:long>>")
     )
     texts = stored(seen.select("host", "content", "lines").dropDuplicates(["host", "content"]))

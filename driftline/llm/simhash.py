@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._bytes import joined, xxh64
-from ._common import blocks, stored
+from ._common import blocks, stored, text_batches
 from .components import components
 
 
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         for b in blocks(batches, "text"):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fingerprints_of(b.column(1), width).view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)[doc_id]}, fp long")
+    return text_batches(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).mapInArrow(run, f"doc_id {dict(docs.dtypes)[doc_id]}, fp long")
 
 
 def _masks(free: int, n_blocks: int, distance: int) -> list[int]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import blocks
+from ._common import blocks, text_batches
 from .encoding import encoder
 
 RULES = ("largest", "first", "last")
@@ -93,4 +93,4 @@ def token_counts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i)), pa.array(k.astype(np.int32)), *map(pa.array, (start, stop, n, total))], ["doc_id", "section", "start", "stop", "n_tokens", "n_doc_tokens"])
 
     given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *([F.col(sections).alias("sections")] if sections else []))
-    return given.mapInArrow(run, f"doc_id {dict(docs.dtypes)[doc_id]}, section int, start long, stop long, n_tokens long, n_doc_tokens long")
+    return text_batches(given).mapInArrow(run, f"doc_id {dict(docs.dtypes)[doc_id]}, section int, start long, stop long, n_tokens long, n_doc_tokens long")
