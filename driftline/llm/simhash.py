@@ -188,7 +188,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     linked = classes.join(links, classes.fp == links.node).select("fp", "component", "least")
     least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     by_component = linked.join(least, "component").select("fp", "component_id")
-    named = classes.join(by_component, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # written first, so that the last join stands alone in its stage and Spark can split a hot fingerprint's rows
+    named = stored(classes.join(by_component, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
     return marked.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
