@@ -109,13 +109,16 @@ def quality_rules(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     texts = stored(seen.select("host", "content", "lines").dropDuplicates(["host", "content"]))
     limits = texts.groupBy("host").agg(F.greatest(F.lit(float(min_texts)), F.count("*") * F.lit(max_share)).alias("limit"))
     lines = texts.select("host", "content", F.inline("lines"))
-    frequent = (
+    # written first, as is what comes of it, so that each join with many rows stands alone in its stage
+    # and Spark can split the rows of a hot line or text
+    frequent = stored(
         texts.select("host", F.explode(F.array_distinct(F.col("lines.line"))).alias("line"))
         .groupBy("host", "line").agg(F.count("*").alias("n_texts"))
         .filter(F.col("n_texts") > min_texts)
         .join(limits, "host").filter("n_texts > limit").select("host", "line")
     )
     lost = lines.join(frequent, ["host", "line"]).groupBy("host", "content").agg(F.sum("words").alias("n_removed_words"), F.collect_set("line").alias("removed_lines"))
+    lost = stored(lost)
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     return (
         seen.drop("lines").join(lost, ["host", "content"], "left")
