@@ -152,7 +152,8 @@ def exact_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     # bytes decide: one group for each text, combined before the shuffle
     same = flat.join(side, "fp", "left_semi").groupBy("flat").agg(F.count("*").alias("group_size")).filter("group_size > 1").select(F.unhex(F.sha2("flat", 256)).alias("sha"), "group_size")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"))).alias("first")
-    heads = suspects.groupBy("sha").agg(first).join(same, "sha")
+    # written first, so that the last join stands alone in its stage and Spark can split a hot class's rows
+    heads = stored(suspects.groupBy("sha").agg(first).join(same, "sha"))
     out = rows.join(heads, "sha", "left")
     return out.select(
         "doc_id",
