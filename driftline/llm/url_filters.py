@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import stored
+
 UPPER_LETTERS, LOWER_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: (verdict, host, path)
@@ -62,7 +64,8 @@ def url_filters(pages: DataFrame, rules: DataFrame, *, url: str = "url", default
     side = F.broadcast(listed) if listed.count() <= broadcast_rows else listed
     hits = expanded.withColumn("_short", F.substring("_full", 1, 8)).join(side, "_short").filter("_full = _digest")
     best = F.max(F.struct(F.length("_rule").alias("n"), F.col("_wide"), F.col("_verdict"), F.col("_rule"))).alias("_best")
-    found = hits.groupBy("_url").agg(best)
+    # written first, so that the last join stands alone in its stage and Spark can split a hot URL's rows
+    found = stored(hits.groupBy("_url").agg(best))
     return (
         pages.join(found, pages[url] == found["_url"], "left")
         .select(*[pages[c] for c in pages.columns if c not in ("host", "path", "rule", "verdict")], host.alias("host"), path.alias("path"), F.col("_best._rule").alias("rule"), F.coalesce("_best._verdict", F.lit(default)).alias("verdict"))
