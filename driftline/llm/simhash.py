@@ -54,13 +54,14 @@ def fingerprints_of(column: pa.Array, width: int = 3) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
-    """doc_id and fp (the fingerprint's 64 bits as a signed long) of every row."""
+    """doc_id, content (a hash of the text) and fp (the fingerprint's 64 bits as a signed long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "text"):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fingerprints_of(b.column(1), width).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fingerprints_of(b.column(2), width).view(np.int64))], ["doc_id", "content", "fp"])
 
-    return text_batches(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).mapInArrow(run, f"doc_id {dict(docs.dtypes)[doc_id]}, fp long")
+    given = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("content"), F.col(text).alias("text"))
+    return text_batches(given).mapInArrow(run, f"doc_id {dict(docs.dtypes)[doc_id]}, content long, fp long")
 
 
 def _masks(free: int, n_blocks: int, distance: int) -> list[int]:
@@ -180,17 +181,17 @@ def close_pairs(classes: DataFrame, *, distance: int = 3, n_blocks: int = 6, mos
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 3, distance: int = 3, n_blocks: int = 6, most: int = 4096) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id that links reach) of every row."""
+    """doc_id, content, fp, component (a fingerprint) and component_id (the smallest doc_id that links reach) of every row."""
     marked = stored(fingerprints(docs, doc_id=doc_id, text=text, width=width))
     classes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     links = components(close_pairs(classes.select("fp"), distance=distance, n_blocks=n_blocks, most=most))
     # the least doc_id of each class, over the classes of its component
     linked = classes.join(links, classes.fp == links.node).select("fp", "component", "least")
     least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_component = linked.join(least, "component").select("fp", "component_id")
+    by_component = linked.join(least, "component").select("fp", "component", "component_id")
     # written first, so that the last join stands alone in its stage and Spark can split a hot fingerprint's rows
-    named = stored(classes.join(by_component, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
-    return marked.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    named = stored(classes.join(by_component, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), F.coalesce("component_id", "least").alias("component_id")))
+    return marked.join(named, "fp", "left").select("doc_id", "content", "fp", "component", "component_id")
 
 
 def hexadecimal(fp) -> T.StringType:
@@ -198,13 +199,19 @@ def hexadecimal(fp) -> T.StringType:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", broadcast_rows: int = 2_000_000, **how: int) -> DataFrame:
-    """``docs`` with one row of each component: the one with the smallest doc_id.
+def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", broadcast_rows: int = 1_000_000, **how: int) -> DataFrame:
+    """``docs`` with one document of each component: the one with the smallest doc_id.
 
-    Rows that repeat that doc_id all stay if their text has the same
-    fingerprint. What goes is a list of doc_ids, broadcast if it has at most
-    ``broadcast_rows`` rows (8 bytes each), else shuffled.
+    A null doc_id is larger than any other, and of rows with that doc_id and
+    different texts the one with the smallest hash stays. Rows that repeat
+    both doc_id and text are one document: all stay or all go. What goes is a
+    list of doc_ids and hashes, broadcast if it has at most ``broadcast_rows``
+    rows (16 bytes each), else shuffled.
     """
-    gone = stored(near_duplicates(docs, doc_id=doc_id, text=text, **how).filter("doc_id IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
+    near = stored(near_duplicates(docs, doc_id=doc_id, text=text, **how).select("doc_id", "content", "component"))
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content")
+    # written first, so that the join stands alone in its stage and Spark can split a hot component's rows
+    heads = stored(near.groupBy("component").agg(F.min(own).alias("first"), F.max(own).alias("last")).filter("first <> last").select("component", "first"))
+    gone = stored(near.join(heads, "component").filter(own != F.col("first")).select(F.col("doc_id").alias("_gone"), F.col("content").alias("_content")).distinct())
     side = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
-    return docs.join(side, docs[doc_id] == F.col("_gone"), "left_anti").select(*docs.columns)
+    return docs.join(side, docs[doc_id].eqNullSafe(F.col("_gone")) & (F.xxhash64(docs[text]) == F.col("_content")), "left_anti").select(*docs.columns)

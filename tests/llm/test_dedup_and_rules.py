@@ -13,6 +13,7 @@ from driftline.llm._bytes import xxh64
 from driftline.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SPACE_RUN = re.compile(r"[\x20\x09-\x0D]+")
 
 
 def words(t):
