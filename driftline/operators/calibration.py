@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,30 +95,72 @@ def first_valid(candidates: DataFrame, keys: list[str], order: str, valid: Colum
     return candidates.groupBy(*keys).agg(pick.alias("_p")).select(*keys, *[F.col(f"_p.{c}").alias(c) for c in cols])
 
 
+def _solved(u: np.ndarray, y: np.ndarray, weight: np.ndarray, gate: float, condition: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For epochs of one size, stacked: the four values of each, whether there are any, and the rows used."""
+    n, m = y.shape
+    a, w = np.concatenate([-u, np.ones((n, m, 1))], axis=2), np.sqrt(weight)
+    use, x, ok = np.ones((n, m), bool), np.zeros((n, 4)), np.full(n, m >= 4)
+
+    def median(values: np.ndarray) -> np.ndarray:
+        v = np.sort(np.where(use, values, np.inf), axis=1)
+        k, at = use.sum(axis=1), np.arange(n)
+        return (v[at, np.maximum(k - 1, 0) // 2] + v[at, np.minimum(k // 2, m - 1)]) / 2
+
+    for _ in range(2 if m >= 4 else 0):
+        ok &= use.sum(axis=1) >= 4
+        left, s, right = np.linalg.svd(a * (w * use)[:, :, None], full_matrices=False)
+        ok &= s[:, 0] <= condition * s[:, 3]
+        inverse = np.divide(1, s, out=np.zeros_like(s), where=ok[:, None] & (s > 0))
+        x = np.einsum("nkj,nk->nj", right, inverse * np.einsum("nmk,nm->nk", left, y * w * use))
+        res = y - np.einsum("nmj,nj->nm", a, x)
+        mid = median(res)[:, None]
+        mad = median(np.abs(res - mid))[:, None]
+        # an epoch without a solution keeps the rows it failed with
+        use = np.where(ok[:, None], np.abs(res - mid) <= gate * np.maximum(1.4826 * mad, 1e-6), use)
+    return x, ok, use.sum(axis=1)
+
+
 def doppler_velocity(rows: DataFrame, epoch: list[str], *, gate: float = 3.0, condition: float = 1e4) -> DataFrame:
     """Velocity and clock drift of each epoch from (ux, uy, uz, rate, weight) of its satellites.
 
     Weighted least squares, once more without rows over ``gate`` median absolute
-    deviations. An epoch has as many rows as there are satellites in view.
+    deviations. An epoch has as many rows as there are satellites in view. Epochs
+    come sorted, and those of one size in a batch are solved together.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = np.c_[-pdf[["ux", "uy", "uz"]].to_numpy(), np.ones(len(pdf))]
-        y, w = pdf["rate"].to_numpy(), np.sqrt(pdf["weight"].to_numpy())
-        use, x = np.ones(len(pdf), bool), None
-        for _ in range(2):
-            if use.sum() < 4 or np.linalg.cond(a[use] * w[use, None]) > condition:
-                x = None
-                break
-            x = np.linalg.lstsq(a[use] * w[use, None], y[use] * w[use], rcond=None)[0]
-            res = y - a @ x
-            mad = np.median(np.abs(res[use] - np.median(res[use])))
-            use = np.abs(res - np.median(res[use])) <= gate * max(1.4826 * mad, 1e-6)
-        values = [None] * 4 if x is None else [float(v) for v in x]
-        return pd.DataFrame([[*(pdf[c].iloc[0] for c in epoch), *values, int(use.sum())]], columns=[*epoch, "vx", "vy", "vz", "drift", "n_used"])
-
-    kinds = ", ".join(f"{c} {dict(rows.dtypes)[c]}" for c in epoch)
-    return rows.groupBy(*epoch).applyInPandas(run, f"{kinds}, vx double, vy double, vz double, drift double, n_used long")
+    kinds = dict(rows.dtypes)
+    values = ["ux", "uy", "uz", "rate", "weight"]
+
+    def solve(held: pa.Table, at: np.ndarray) -> pa.RecordBatch:
+        """The epochs that begin at ``at`` (its last element is the end)."""
+        data = np.stack([held[c].to_numpy() for c in values], axis=1)
+        size, first = np.diff(at), at[:-1]
+        x, ok, used = np.zeros((len(first), 4)), np.zeros(len(first), bool), np.zeros(len(first), np.int64)
+        for m in np.unique(size):
+            of = np.flatnonzero(size == m)
+            d = data[first[of][:, None] + np.arange(m)]
+            x[of], ok[of], used[of] = _solved(d[:, :, :3], d[:, :, 3], d[:, :, 4], gate, condition)
+        keys = [held[c].take(pa.array(first)).combine_chunks() for c in epoch]
+        return pa.RecordBatch.from_arrays([*keys, *(pa.array(x[:, k], mask=~ok) for k in range(4)), pa.array(used)], [*epoch, "vx", "vy", "vz", "drift", "n_used"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            n = held["_epoch"].to_numpy()
+            at = np.r_[0, np.flatnonzero(n[1:] != n[:-1]) + 1]
+            if len(at) > 1:  # the last epoch may go on in the next batch
+                yield solve(held, at)
+                held = held.slice(at[-1])
+        if held is not None:
+            yield solve(held, np.array([0, held.num_rows]))
+
+    # nulls are told apart from what follows them, since the hash passes over them
+    group = F.xxhash64(*epoch, *[F.col(c).isNull() for c in epoch])
+    given = rows.select(*epoch, *[F.col(c).cast("double").alias(c) for c in values], group.alias("_epoch"))
+    dealt = given.repartition(*epoch).sortWithinPartitions(*epoch)
+    return dealt.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in epoch) + ", vx double, vy double, vz double, drift double, n_used long")
 
 
 def nearest_rotation(rows: DataFrame, key: str, m: str) -> DataFrame:

@@ -6,12 +6,15 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from driftline import plans
 from driftline.operators import calibration
 from driftline.plans import audits
 from driftline.sources import recordings, records
 from driftline.sources.tables import events
 from driftline.streaming import live
 
+plans.load()
+
 
 @pytest.fixture(scope="module")
 def log(spark, sf, tmp_path_factory):
@@ -99,3 +102,39 @@ def test_nearest_rotation(spark):
     df = spark.createDataFrame([(1, [[2.0, 0.0, 0.0], [0.0, 2.0, 0.0], [0.0, 0.0, -2.0]]), (2, [[0.0, -3.0, 0.0], [3.0, 0.0, 0.0], [0.0, 0.0, 3.0]])], "k int, m array<array<double>>")
     got = {r.k: np.array(r.rotation) for r in calibration.nearest_rotation(df, "k", "m").collect()}
     assert all(np.isclose(np.linalg.det(m), 1) and np.allclose(m @ m.T, np.eye(3)) for m in got.values()) and np.allclose(got[2], [[0, -1, 0], [1, 0, 0], [0, 0, 1]])
+
+
+def doppler_by_hand(d, gate=3.0, condition=1e4):
+    """vx, vy, vz, drift (or None) and the rows used of one epoch's (ux, uy, uz, rate, weight)."""
+    import numpy as np
+
+    d = np.array(d, float)
+    a, y, w = np.c_[-d[:, :3], np.ones(len(d))], d[:, 3], np.sqrt(d[:, 4])
+    use, x = np.ones(len(d), bool), None
+    for _ in range(2):
+        if use.sum() < 4 or np.linalg.cond(a[use] * w[use, None]) > condition:
+            return None, int(use.sum())
+        x = np.linalg.lstsq(a[use] * w[use, None], y[use] * w[use], rcond=None)[0]
+        res = y - a @ x
+        mid = np.median(res[use])
+        use = np.abs(res - mid) <= gate * max(1.4826 * np.median(np.abs(res[use] - mid)), 1e-6)
+    return x, int(use.sum())
+
+
+def test_doppler_solve_has_every_order(spark, sf):
+    import numpy as np
+
+    lines = {}
+    for r in spark.read.parquet(f"{sf}/lineitem.parquet").collect():
+        n, p = r.l_linenumber, r.l_partkey % 13
+        lines.setdefault(r.l_orderkey, []).append([math.sin(n + p), math.sin(2 * n + p), math.sin(3 * n + p), float(r.l_quantity) / 10, 1 + float(r.l_discount)])
+    got = {r.l_orderkey: r for r in plans.QUERIES["doppler_solve"](spark, sf).collect()}
+    assert set(got) == set(lines)
+    solved = 0
+    for k, d in lines.items():
+        x, used = doppler_by_hand(d)
+        mine = [got[k].vx, got[k].vy, got[k].vz, got[k].drift]
+        assert got[k].n_used == used
+        assert mine == [None] * 4 if x is None else np.allclose(mine, x, rtol=1e-6, atol=1e-6)
+        solved += x is not None
+    assert solved > 100
