@@ -115,16 +115,27 @@ def training_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", "event_id", "horizon_h", r(F.col("i_value") - F.col("v")).alias("residual"))
 
 
+def folds(rows: DataFrame) -> DataFrame:
+    """Sizes of the training parts with each drive held out in turn: totals less the drive's own, with no join of all pairs."""
+    n = rows.filter("user_id IS NOT NULL").groupBy("user_id", (F.col("user_id") % 5).alias("grp")).agg(F.count("*").alias("n"))
+    total = n.groupBy("grp").agg(F.sum("n").alias("all"))
+    held = n.select(F.col("user_id").alias("fold"), F.col("grp").alias("own"), F.col("n").alias("minus"))
+    # a literal list of what a remainder can be stands for the totals' keys
+    each = held.withColumn("grp", F.explode(F.array(*[F.lit(g).cast("long") for g in range(-4, 5)]))).join(F.broadcast(total), "grp")
+    return each.select("fold", "grp", (F.col("all") - F.when(F.col("own") == F.col("grp"), F.col("minus")).otherwise(0)).alias("n")).filter("n > 0")
+
+
+@query()
+def leave_one_out_every_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of the training parts for every drive as the one held out."""
+    return folds(events(spark, sf_dir).select("user_id"))
+
+
 @query("""
 SELECT a.user_id AS fold, b.user_id % 5 AS grp, count(*) AS n FROM (SELECT DISTINCT user_id FROM ev WHERE user_id % 30 = 0) a, ev b WHERE a.user_id <> b.user_id GROUP BY ALL""")
 def leave_one_out_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes of the training parts when one of a few drives is held out: totals less the drive's own, with no join of all pairs."""
-    n = events(spark, sf_dir).groupBy("user_id", (F.col("user_id") % 5).alias("grp")).agg(F.count("*").alias("n"))
-    total = n.groupBy("grp").agg(F.sum("n").alias("all"))
-    held = n.filter("user_id % 30 = 0").select(F.col("user_id").alias("fold"), F.col("grp").alias("own"), F.col("n").alias("minus"))
-    # a literal list of the five groups stands for the totals' keys
-    rows = held.withColumn("grp", F.explode(F.array(*[F.lit(g).cast("long") for g in range(5)]))).join(total, "grp")
-    return rows.select("fold", "grp", (F.col("all") - F.when(F.col("own") == F.col("grp"), F.col("minus")).otherwise(0)).alias("n")).filter("n > 0")
+    """Of :func:`leave_one_out_every_fold` the folds that the SQL joins: one user in thirty, since it joins all pairs."""
+    return folds(events(spark, sf_dir).select("user_id")).filter("fold % 30 = 0")
 
 
 @query(f"""

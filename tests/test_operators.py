@@ -212,3 +212,17 @@ def test_stream_drops_repeated_ids(spark, tmp_path):
     df.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     assert sorted(r.event_id for r in live.drained(live.intake(stream, delay="1 hour")).collect()) == [1, 2, 3]
+
+
+def test_every_drive_is_held_out_once(spark, sf):
+    from driftline import plans
+
+    plans.load()
+    drives = [r.user_id for r in events(spark, sf).select("user_id").collect()]
+    want = {}
+    for fold in set(drives):
+        for u in drives:
+            if u != fold:
+                want[fold, u % 5] = want.get((fold, u % 5), 0) + 1
+    got = [(r.fold, r.grp, r.n) for r in plans.QUERIES["leave_one_out_every_fold"](spark, sf).collect()]
+    assert len(got) == len(want) and {(f, g): n for f, g, n in got} == want
