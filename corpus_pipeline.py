@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import exact_dedup, mixing, packing, quality_rules, simhash
+from driftline.llm import exact_dedup, mixing, packing, quality_rules, shingles, simhash
 from driftline.llm._common import shared_folder
 
 
@@ -23,8 +23,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the one with the smallest doc_id stays."""
-    return simhash.deduplicated(docs)
+    """Of texts with close fingerprints, then of those that share 0.8 of their five-word shingles, the one with the smallest doc_id stays."""
+    return shingles.deduplicated(simhash.deduplicated(docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
