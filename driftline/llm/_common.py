@@ -20,18 +20,21 @@ SPACE = r"[\x20\x09-\x0D]+"
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset, as
-    in tests on one machine, a temporary folder stands in.
+    It is the session's ``spark.checkpoint.dir``. Only where that is unset and the
+    master is local, as in tests on one machine, a temporary folder stands in.
     """
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if known:
         return known
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that the executors share")
     if not getattr(shared_folder, "local", None):
         shared_folder.local = tempfile.mkdtemp(prefix="driftline-")
     return f"file://{shared_folder.local}"
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder of ours; without a session nothing happens."""
     try:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
@@ -49,7 +52,7 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/driftline-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    atexit.register(removed, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
