@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import joined, mixed, xxh64
-from ._common import blocks, stored, text_batches
+from ._common import blocks, fresh, stored, text_batches
 
 
 def shingles_of(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,6 +120,7 @@ def similar_texts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
 
 def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", broadcast_rows: int = 1_000_000, **how: float) -> DataFrame:
     """``docs`` without the texts that are similar to one before them, in order of doc_id."""
-    gone = stored(similar_texts(docs, doc_id=doc_id, text=text, broadcast_rows=broadcast_rows, **how).withColumnRenamed("content", "_content"))
+    (gone_content,) = fresh(docs.columns, "gone_content")
+    gone = stored(similar_texts(docs, doc_id=doc_id, text=text, broadcast_rows=broadcast_rows, **how).withColumnRenamed("content", gone_content))
     side = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
-    return docs.join(side, F.xxhash64(docs[text]) == F.col("_content"), "left_anti").select(*docs.columns)
+    return docs.join(side, F.xxhash64(docs[text]) == F.col(gone_content), "left_anti").select(*docs.columns)

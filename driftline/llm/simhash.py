@@ -29,9 +29,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._bytes import joined, xxh64
-from ._common import blocks, stored, text_batches
+from ._common import blocks, fresh, stored, text_batches
 from .components import components
 
+SHINGLES = 1 << 17  #: whose bits are unpacked at once
+
 
 def fingerprints_of(column: pa.Array, width: int = 3) -> np.ndarray:
     """The 64-bit SimHash of each text of a string column."""
@@ -46,8 +48,13 @@ def fingerprints_of(column: pa.Array, width: int = 3) -> np.ndarray:
     out = np.zeros(len(n_words), np.uint64)
     some = np.flatnonzero(n_shingles)
     if len(some):
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.stack([bits[at[i] : at[i + 1]].sum(axis=0, dtype=np.int64) for i in some])
+        # bits are unpacked for a bounded number of shingles at once, and summed by text
+        ones, of = np.zeros((len(some), 64), np.int64), np.repeat(np.arange(len(some)), n_shingles[some])
+        for a in range(0, len(h), SHINGLES):
+            bits = np.unpackbits(h[a : a + SHINGLES].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            here = of[a : a + SHINGLES]
+            begin = np.flatnonzero(np.r_[True, here[1:] != here[:-1]])
+            ones[here[begin]] += np.add.reduceat(bits, begin, axis=0, dtype=np.int64)
         packed = np.packbits(ones * 2 > n_shingles[some, None], axis=1, bitorder="little")
         out[some] = packed.copy().view(np.uint64).ravel()
     return out
@@ -206,12 +213,13 @@ def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     different texts the one with the smallest hash stays. Rows that repeat
     both doc_id and text are one document: all stay or all go. What goes is a
     list of doc_ids and hashes, broadcast if it has at most ``broadcast_rows``
-    rows (16 bytes each), else shuffled.
+    rows (16 bytes each), else shuffled. Other columns may have any names.
     """
+    gone_id, gone_content = fresh(docs.columns, "gone_id", "gone_content")
     near = stored(near_duplicates(docs, doc_id=doc_id, text=text, **how).select("doc_id", "content", "component"))
     own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content")
     # written first, so that the join stands alone in its stage and Spark can split a hot component's rows
     heads = stored(near.groupBy("component").agg(F.min(own).alias("first"), F.max(own).alias("last")).filter("first <> last").select("component", "first"))
-    gone = stored(near.join(heads, "component").filter(own != F.col("first")).select(F.col("doc_id").alias("_gone"), F.col("content").alias("_content")).distinct())
+    gone = stored(near.join(heads, "component").filter(own != F.col("first")).select(F.col("doc_id").alias(gone_id), F.col("content").alias(gone_content)).distinct())
     side = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
-    return docs.join(side, docs[doc_id].eqNullSafe(F.col("_gone")) & (F.xxhash64(docs[text]) == F.col("_content")), "left_anti").select(*docs.columns)
+    return docs.join(side, docs[doc_id].eqNullSafe(F.col(gone_id)) & (F.xxhash64(docs[text]) == F.col(gone_content)), "left_anti").select(*docs.columns)
