@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import IS_SPACE, LOWER, mixed, spans, utf8, xxh64
-from ._common import SPACE, blocks, stored, text_batches
+from ._common import SPACE, blocks, fresh, stored, text_batches
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -143,14 +143,16 @@ def cleaned(docs: DataFrame, rules: DataFrame, *, text: str = "text", host: str
 
     What to do depends on host and text alone, so it joins on their hashes.
     Only texts that are rejected or lose lines are joined: their table is
-    broadcast if it has at most ``broadcast_rows`` rows (16 bytes and a few
-    hashes each), else Spark shuffles both sides.
+    broadcast if it has at most ``broadcast_rows`` rows and hashes to remove
+    (8 bytes each), else Spark shuffles both sides. Other columns may have any names.
     """
-    acts = stored(rules.filter("NOT kept OR removed_lines IS NOT NULL").select(F.col("host").alias("_host"), F.col("content").alias("_content"), F.col("kept").alias("_kept"), F.when(F.col("kept"), F.col("removed_lines")).alias("_lines")).dropDuplicates(["_host", "_content"]))
-    side = F.broadcast(acts) if acts.count() <= broadcast_rows else acts
-    on = (F.xxhash64(docs[host]) == F.col("_host")) & (F.xxhash64(docs[text]) == F.col("_content"))
-    left = F.concat_ws("\n", F.filter(F.split(F.col(text), "\n"), lambda x: ~F.array_contains(F.col("_lines"), line_hash(x))))
-    out = docs.join(side, on, "left").filter("_kept IS NULL OR _kept").withColumn(text, F.when(F.col("_lines").isNull(), F.col(text)).otherwise(left))
+    a_host, a_content, a_kept, a_lines = fresh(docs.columns, "a_host", "a_content", "a_kept", "a_lines")
+    acts = stored(rules.filter("NOT kept OR removed_lines IS NOT NULL").select(F.col("host").alias(a_host), F.col("content").alias(a_content), F.col("kept").alias(a_kept), F.when(F.col("kept"), F.col("removed_lines")).alias(a_lines)).dropDuplicates([a_host, a_content]))
+    held = acts.agg(F.sum(F.greatest(F.size(F.coalesce(a_lines, F.array())), F.lit(0)) + 1)).first()[0] or 0
+    side = F.broadcast(acts) if held <= broadcast_rows else acts
+    on = (F.xxhash64(docs[host]) == F.col(a_host)) & (F.xxhash64(docs[text]) == F.col(a_content))
+    left = F.concat_ws("\n", F.filter(F.split(F.col(text), "\n"), lambda x: ~F.array_contains(F.col(a_lines), line_hash(x))))
+    out = docs.join(side, on, "left").filter(F.col(a_kept).isNull() | F.col(a_kept)).withColumn(text, F.when(F.col(a_lines).isNull(), F.col(text)).otherwise(left))
     if n_chars in docs.columns:
-        out = out.withColumn(n_chars, F.when(F.col("_lines").isNull(), F.col(n_chars)).otherwise(F.length(text)).cast(dict(docs.dtypes)[n_chars]))
+        out = out.withColumn(n_chars, F.when(F.col(a_lines).isNull(), F.col(n_chars)).otherwise(F.length(text)).cast(dict(docs.dtypes)[n_chars]))
     return out.select(*docs.columns)
