@@ -20,10 +20,10 @@ from math import ceil
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import stored, words
+from ._common import fresh, stored, words
 
 BITS = 62
 WEIGHTS = (5, 2, 1)
@@ -70,10 +70,15 @@ def below(i: np.ndarray, limit: np.ndarray) -> np.ndarray:
     return out
 
 
+def record_key(doc_id: Column, text: Column, seed: int) -> Column:
+    """What tells rows apart and orders them: a seeded hash of id and text."""
+    return F.xxhash64(F.lit(seed), doc_id, F.xxhash64(text))
+
+
 def schedule(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: float = 3.0, block: int = 256, rows_per_bucket: int = 2000, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(documents, mix).
 
-    documents: row, doc_id, source, size, source_size, target. mix: slot,
+    documents: row, doc_id, source, size, source_size, target, key (a hash of doc_id and text). mix: slot,
     source, row, doc_id, start, length: which words of which document a slot
     takes, a row for each part of a block. ``weights`` go round the sources in
     code point order, a null last. One row for each source is on the driver:
@@ -81,7 +86,7 @@ def schedule(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sou
     """
     spark = docs.sparkSession
     # rows in random order within their source; equal rows can trade places
-    rows = stored(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words(text).alias("size"), F.xxhash64(F.lit(seed), F.col(doc_id), F.xxhash64(text)).alias("key")))
+    rows = stored(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words(text).alias("size"), record_key(F.col(doc_id), F.col(text), seed).alias("key")))
     stats = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     stats.sort(key=lambda r: (r.source is None, [ord(c) for c in str(r.source or "")]))
     sizes = [int(r["size"]) for r in stats]
@@ -104,7 +109,7 @@ def schedule(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sou
     base = known.groupBy("s", "bucket").agg(F.sum("size").alias("words"), F.count("*").alias("n")).select("s", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("nth"))
     inside = Window.partitionBy("s", "bucket").orderBy("key", "doc_id", "size")
     placed = known.join(base, ["s", "bucket"]).select(
-        "doc_id", "source", "size", "s", "source_size", "target", "take",
+        "doc_id", "source", "size", "s", "source_size", "target", "take", "key",
         (F.col("base") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).alias("begin"),
         (F.col("nth") + F.row_number().over(inside) - 1).alias("nth"),
     )
@@ -137,19 +142,21 @@ def taken(docs: DataFrame, **how: int) -> DataFrame:
     """Every document with how many of its words the mix takes, repeats counted."""
     documents, mix = schedule(docs, **how)
     got = mix.groupBy("row").agg(F.sum("length").alias("taken"))
-    return documents.join(got, "row", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return documents.join(got, "row", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "key")
 
 
-def mixed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how: int) -> DataFrame:
+def mixed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 42, broadcast_rows: int = 1_000_000, **how: int) -> DataFrame:
     """The documents that the mix takes, each as often as it takes most of its words.
 
     A document comes round(taken / size) times; one that is taken at all comes
-    once at least. Rows that repeat a doc_id, source and text share the most
-    of their counts.
+    once at least: documents are this function's unit, and the schedule's blocks that of
+    :func:`schedule`. Rows that repeat a doc_id, source and text share the most
+    of their counts. Other columns may have any names. The counts (16 bytes and a
+    source each) are broadcast up to ``broadcast_rows``.
     """
-    got = taken(docs.withColumn("_hash", F.xxhash64(text)), doc_id=doc_id, text=text, source=source, **how)
-    times = stored(got.filter("taken > 0").groupBy("doc_id", "source", "size").agg(F.max(F.greatest(F.lit(1), F.round(F.col("taken") / F.col("size")))).cast("int").alias("_times")))
-    times = times.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), "_times")
-    side = F.broadcast(times) if times.count() <= 1_000_000 else times
-    on = docs[doc_id].eqNullSafe(F.col("_d")) & docs[source].eqNullSafe(F.col("_s")) & (words(docs[text]) == F.col("_n"))
-    return docs.join(side, on).withColumn("_t", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    t_key, t_source, t_times = fresh(docs.columns, "t_key", "t_source", "t_times")
+    got = taken(docs, doc_id=doc_id, text=text, source=source, seed=seed, **how)
+    times = stored(got.filter("taken > 0").groupBy(F.col("key").alias(t_key), F.col("source").alias(t_source)).agg(F.max(F.greatest(F.lit(1), F.round(F.col("taken") / F.col("size")))).cast("int").alias(t_times)))
+    side = F.broadcast(times) if times.count() <= broadcast_rows else times
+    left = docs.join(side, (record_key(docs[doc_id], docs[text], seed) == F.col(t_key)) & docs[source].eqNullSafe(F.col(t_source)))
+    return left.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(t_times))).alias(t_times)).drop(t_times)
