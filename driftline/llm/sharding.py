@@ -1,5 +1,7 @@
 """Sharding by a two-pass external shuffle.
 
+Slots depend on the records and the seed alone, not on files or partitions.
+
 Pass one scatters every record by seeded hashes: the doc_id alone decides the
 shard (a jump consistent hash, so that one more shard takes records only into
 itself), and a second hash decides the bucket, one of as many as the shard
@@ -10,8 +12,9 @@ place in the bucket after the buckets before.
 
 Defined cases: a null text counts as no bytes; a null doc_id is hashed as such;
 rows that repeat a doc_id share its shard and spread over its buckets by their
-text and, if that repeats too, by a seeded random salt; an empty table gives an
-empty result; added columns whose names are taken get a trailing underscore.
+text; rows that repeat both stay together in one bucket while they are few, and
+are numbered and spread by that number beyond; an empty table gives an empty
+result; added columns whose names are taken get a trailing underscore.
 """
 
 from __future__ import annotations
@@ -54,18 +57,32 @@ def external_shuffle(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     row for each shard comes to the driver; the offsets of the buckets (three numbers
     each) are broadcast for up to a million buckets, else joined by a shuffle.
     """
-    size, shard, slot, grown, bucket, place, order, salt, offset = fresh(docs.columns, "size", "shard", "slot", "grown_shard", "_bucket", "_place", "_order", "_salt", "_offset")
+    size, shard, slot, grown, bucket, place, order, salt, offset, part = fresh(docs.columns, "size", "shard", "slot", "grown_shard", "a_bucket", "a_place", "an_order", "a_salt", "an_offset", "a_part")
     key = F.xxhash64(F.lit(seed), F.col(doc_id))
-    sized = docs.withColumn(size, F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8).withColumn(shard, shard_of(key, shards))
-    loads = {r[0]: r[1] for r in sized.groupBy(shard).agg(F.sum(size)).collect()}
-    n = [max(1, -(-loads.get(s, 0) // bucket_bytes)) for s in range(shards)]
     # the id's hash alone would put the rows that repeat an id into one bucket
-    dealt = (
-        sized.withColumn(grown, shard_of(key, shards + 1))
+    sized = (
+        docs.withColumn(size, F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8)
+        .withColumn(shard, shard_of(key, shards)).withColumn(grown, shard_of(key, shards + 1))
         .withColumn(order, F.xxhash64(F.lit(seed), F.col(doc_id), F.xxhash64(text)))
-        .withColumn(salt, F.floor(F.rand(seed) * (1 << 20)).cast("long"))
-        .withColumn(bucket, F.pmod(F.xxhash64(order, salt), F.element_at(F.array(*map(F.lit, n)), F.col(shard) + 1)).cast("int"))
-    )
+    )
+    narrow = stored(sized.select(shard, size, order))
+    loads = {r[0]: r[1] for r in narrow.groupBy(shard).agg(F.sum(size)).collect()}
+    n = [max(1, -(-loads.get(s, 0) // bucket_bytes)) for s in range(shards)]
+    # records that repeat until they would fill a good part of a bucket
+    copies = stored(narrow.groupBy(order).agg(F.count("*").alias(salt), F.sum(size).alias(size)).filter((F.col(salt) > 1) & (F.col(size) > bucket_bytes // 8)).select(order))
+    if copies.limit(1).count():
+        # numbered within their input partition, after those of the partitions before
+        many = stored(sized.join(F.broadcast(copies) if copies.count() <= 1_000_000 else copies, order, "left_semi").withColumn(part, F.spark_partition_id()))
+        held = many.groupBy(order, part).agg(F.count("*").alias(offset))
+        held = held.withColumn(offset, F.coalesce(F.sum(offset).over(Window.partitionBy(order).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        own = F.row_number().over(Window.partitionBy(order, part).orderBy(size))
+        salted = many.withColumn(salt, own.cast("long")).join(held, [order, part]).withColumn(salt, F.col(salt) + F.col(offset)).drop(offset, part)
+        sized = sized.join(F.broadcast(copies) if copies.count() <= 1_000_000 else copies, order, "left_anti").withColumn(salt, F.lit(0).cast("long")).unionByName(salted)
+    else:
+        sized = sized.withColumn(salt, F.lit(0).cast("long"))
+    dealt = sized.withColumn(bucket, F.pmod(F.xxhash64(order, salt), F.element_at(F.array(*map(F.lit, n)), F.col(shard) + 1)).cast("int"))
+    # tasks of a few buckets, however large the table
+    dealt = dealt.select(*docs.columns, size, shard, grown, order, salt, bucket).repartition(max(1, -(-sum(loads.values()) // (8 * bucket_bytes))), shard, bucket)
 
     def fisher_yates(t: pa.Table) -> pa.Table:
         t = t.sort_by([(order, "ascending"), (salt, "ascending")])
@@ -85,6 +102,10 @@ def external_shuffle(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     return out.withColumn(slot, F.col(offset) + F.col(place)).select(*docs.columns, size, shard, slot, grown)
 
 
-def write_shards(shuffled: DataFrame, path: str, *, shard: str = "shard", slot: str = "slot") -> None:
-    """A folder of Parquet files for each shard, rows in the order of their slots."""
-    shuffled.repartition(shard).sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path)
+def write_shards(shuffled: DataFrame, path: str, *, shard: str = "shard", slot: str = "slot", size: str = "size", file_bytes: int = 256 << 20) -> None:
+    """A folder of Parquet files for each shard, rows in the order of their slots.
+
+    A task writes about ``file_bytes``, a run of slots, so a large shard has many files.
+    """
+    total = shuffled.agg(F.sum(size)).first()[0] or 0
+    shuffled.repartitionByRange(max(1, -(-total // file_bytes)), shard, slot).sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path)
