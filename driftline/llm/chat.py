@@ -4,7 +4,8 @@ Messages form trees by their parents. Self-joins double the reach of every
 message's ancestor pointer each round, so that a chain of n messages takes
 log2(n) rounds. They give each message its depth and the sum of the scores on its
 path. The leaves are ranked by score within their conversation, the chosen
-ones' paths are listed by the same pointers, and each path becomes one text.
+ones' paths are listed by the same pointers, and each path becomes one text. The joins
+carry keys and scores; texts are written once and join the chosen paths at the end.
 
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n`` for each turn. Inside roles
 and texts ``&`` is written ``&amp;`` and ``<|`` is written ``&lt;|``; a line break in a
@@ -14,8 +15,11 @@ in code points, one for each assistant text as written.
 
 Defined cases: a null text or role counts as empty; a missing parent makes a
 root; messages on a cycle have no root and are left out; ties of score go to
-the smaller leaf; repeated rows of a turn are turns of their own, in the order of
-role and text; an empty table gives an empty result.
+the smaller leaf; of rows that repeat a conversation's node, the one with the smallest
+parent (none first), role, text and score counts; a null conversation is a
+conversation and a null node a node like any other, but nothing can answer it; in linear
+conversations repeated rows of a turn are turns of their own, in the order of role
+and text, and a null turn is the first; an empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -47,29 +51,35 @@ def chain(messages: DataFrame, *, conv: str = "conv_id", turn: str = "turn") ->
 def paths(nodes: DataFrame, *, best: int = 1) -> DataFrame:
     """conv, leaf, rank, dist and node: the ``best`` root-to-leaf paths of each conversation, a row for each message.
 
-    ``nodes`` has conv, node, parent and score. dist is the distance to the leaf.
+    ``nodes`` has conv, node, parent and score, a row for each (conv, node). dist is the distance to the leaf.
     """
-    known = nodes.select("conv", F.col("node").alias("parent"), F.lit(True).alias("there"))
-    linked = nodes.join(known, ["conv", "parent"], "left").select("conv", "node", F.when(F.col("there"), F.col("parent")).alias("up"), F.coalesce("score", F.lit(0.0)).alias("total"))
+    # as one struct a key is equal to another whatever parts are null
+    kind = nodes.select(F.struct("conv", "node").alias("me")).schema["me"].dataType.simpleString()
+    up = F.when(F.col("parent").isNotNull(), F.struct("conv", F.col("parent").alias("node")).cast(kind))
+    linked = stored(nodes.select(F.struct("conv", "node").alias("me"), up.alias("up"), F.coalesce("score", F.lit(0.0)).alias("total")))
+    known = linked.select(F.col("me").alias("there"))
+    linked = linked.join(known, F.col("up") == F.col("there"), "left").select("me", F.col("there").alias("up"), "total")
     hops = [stored(linked)]
     # after round k, up is the ancestor 2^k above and total the sum of the scores below it
-    sizes = nodes.groupBy("conv").count().agg(F.max("count")).first()[0] or 0
-    while hops[-1].filter("up IS NOT NULL").limit(1).count() and 1 << (len(hops) - 1) < 2 * sizes:
+    size = None
+    while hops[-1].filter("up IS NOT NULL").limit(1).count():
+        if len(hops) > 10:  # as long as this are paths, or cycles: those have no end
+            size = size or linked.groupBy("me.conv").count().agg(F.max("count")).first()[0]
+            if 1 << (len(hops) - 1) >= 2 * size:
+                break
         now = hops[-1]
-        far = now.select("conv", F.col("node").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"))
-        live = now.filter("up IS NOT NULL").join(far, ["conv", "up"])
-        done = now.filter("up IS NULL").select("conv", "node", "up", "total")
-        hops.append(stored(live.select("conv", "node", F.col("next").alias("up"), (F.col("total") + F.col("more")).alias("total")).unionByName(done)))
-    parents = linked.filter("up IS NOT NULL").select("conv", F.col("up").alias("node")).distinct()
-    rooted = hops[-1].filter("up IS NULL")
-    leaves = rooted.join(parents, ["conv", "node"], "left_anti")
-    rank = F.row_number().over(Window.partitionBy("conv").orderBy(F.desc("total"), "node"))
-    out = leaves.withColumn("rank", rank).filter(F.col("rank") <= best).select("conv", F.col("node").alias("leaf"), "rank", F.lit(0).cast("long").alias("dist"), "node")
+        far = now.select(F.col("me").alias("at"), F.col("up").alias("next"), F.col("total").alias("more"))
+        live = now.filter("up IS NOT NULL").join(far, F.col("up") == F.col("at"))
+        hops.append(stored(live.select("me", F.col("next").alias("up"), (F.col("total") + F.col("more")).alias("total")).unionByName(now.filter("up IS NULL"))))
+    parents = hops[0].filter("up IS NOT NULL").select("up").distinct()
+    leaves = hops[-1].filter("up IS NULL").drop("up").join(parents, F.col("me") == F.col("up"), "left_anti")
+    rank = F.row_number().over(Window.partitionBy("me.conv").orderBy(F.desc("total"), "me.node"))
+    out = leaves.withColumn("rank", rank).filter(F.col("rank") <= best).select(F.col("me.node").alias("leaf"), "rank", F.lit(0).cast("long").alias("dist"), "me")
     # every path so far, and the same ones again from 2^k higher
     for k, hop in enumerate(hops[:-1]):
-        higher = out.join(hop.filter("up IS NOT NULL").select("conv", "node", "up"), ["conv", "node"])
-        out = stored(out.unionByName(higher.select("conv", "leaf", "rank", (F.col("dist") + (1 << k)).alias("dist"), F.col("up").alias("node"))))
-    return out
+        higher = out.join(hop.filter("up IS NOT NULL").select(F.col("me").alias("at"), "up"), F.col("me") == F.col("at"))
+        out = stored(out.unionByName(higher.select("leaf", "rank", (F.col("dist") + (1 << k)).alias("dist"), F.col("up").alias("me"))))
+    return out.select("me.conv", "leaf", "rank", "dist", "me.node")
 
 
 def formatted(nodes: DataFrame, *, best: int = 1, trained: str = "assistant") -> DataFrame:
@@ -77,7 +87,10 @@ def formatted(nodes: DataFrame, *, best: int = 1, trained: str = "assistant") ->
 
     A path's turns are gathered into one row, as it is one text.
     """
-    turns = paths(nodes, best=best).join(nodes.select("conv", "node", "role", "text"), ["conv", "node"])
+    row = F.struct("parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    messages = stored(nodes.groupBy("conv", "node").agg(F.min(row).alias("m")).select("conv", "node", "m.*"))
+    texts = messages.select(F.struct("conv", "node").alias("at"), "role", "text")
+    turns = paths(messages, best=best).join(texts, F.struct("conv", "node") == F.col("at"))
     role = F.replace(escaped(F.col("role")), F.lit("\n"), F.lit("&#10;"))
     turn = F.struct((-F.col("dist")).alias("at"), F.concat(F.lit(START), role, F.lit("\n")).alias("head"), escaped(F.col("text")).alias("body"), (F.col("role") == trained).alias("on"))
     rows = turns.groupBy("conv", "leaf", "rank").agg(F.sort_array(F.collect_list(turn)).alias("t"))
