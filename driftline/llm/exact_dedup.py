@@ -5,8 +5,13 @@
    bits), and codes each cut's gaps in Golomb-Rice form. Only these codes are shuffled.
 2. The owner decodes what all senders sent, finds the fingerprints that occur
    more than once, and answers each sender with a bitmap.
-3. Rows that a bitmap marks are suspects. Only texts with a suspect
-   fingerprint are shuffled, grouped by their bytes, so that the comparison is exact.
+3. Rows that a bitmap marks are suspects; the others stand as they are. Only texts
+   with a suspect fingerprint are shuffled, grouped by their bytes, so that the
+   comparison is exact, and only suspects are joined with what comes of it.
+
+The bitmaps go back to the senders' rows before these are taken apart: broadcast
+while all have at most ``broadcast_bytes``, else by a join on (sender, owner), one row
+for each pair.
 
 A sender sends a fingerprint once however often it has it, and the grouping by
 bytes is combined before its shuffle, so a text that a third of all rows share
@@ -27,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SPACE, stored
+from ._common import SPACE, fresh, stored
 
 
 def normalised(text: Column | str) -> Column:
@@ -36,32 +41,28 @@ def normalised(text: Column | str) -> Column:
 
 
 def golomb(values: np.ndarray, rice: int) -> bytes:
-    """Golomb-Rice code of a sorted array of distinct uint64: gaps in unary quotients and ``rice``-bit rests."""
+    """Golomb-Rice code of a sorted array of distinct uint64: the gaps' quotients in unary, then their ``rice``-bit rests."""
     gaps = np.diff(values, prepend=np.uint64(0))
-    q = (gaps >> np.uint64(rice)).astype(np.int64)
-    width = q + 1 + rice
-    at = np.cumsum(width) - width
-    bits = np.zeros(int(width.sum()), np.uint8)
-    # the quotient in ones, a zero, then the rest from its highest bit
-    ones = np.repeat(at, q) + (np.arange(q.sum()) - np.repeat(np.cumsum(q) - q, q))
-    bits[ones] = 1
+    ends = np.cumsum((gaps >> np.uint64(rice)).astype(np.int64) + 1)
+    n = int(ends[-1]) if len(ends) else 0
+    bits = np.ones(n + rice * len(gaps), np.uint8)
+    # each quotient in ones and a zero; after all of them each rest from its highest bit
+    bits[ends - 1] = 0
+    rests = bits[n:].reshape(len(gaps), rice)
     for k in range(rice):
-        bits[at + q + 1 + k] = (gaps >> np.uint64(rice - 1 - k)).astype(np.uint8) & 1
+        rests[:, k] = (gaps >> np.uint64(rice - 1 - k)).astype(np.uint8) & 1
     return np.packbits(bits).tobytes()
 
 
 def ungolomb(code: bytes, n: int, rice: int) -> np.ndarray:
     """The ``n`` values that :func:`golomb` coded."""
     bits = np.unpackbits(np.frombuffer(code, np.uint8))
-    zeros = np.flatnonzero(bits == 0)
-    at, starts, stops = 0, np.empty(n, np.int64), np.empty(n, np.int64)
-    for i in range(n):
-        z = zeros[np.searchsorted(zeros, at)]
-        starts[i], stops[i] = at, z
-        at = z + 1 + rice
-    gaps = (stops - starts).astype(np.uint64) << np.uint64(rice)
+    ends = np.flatnonzero(bits == 0)[:n]
+    gaps = (np.diff(ends, prepend=-1) - 1).astype(np.uint64) << np.uint64(rice)
+    at = int(ends[-1]) + 1 if n else 0
+    rests = bits[at : at + rice * n].reshape(n, rice)
     for k in range(rice):
-        gaps |= bits[stops + 1 + k].astype(np.uint64) << np.uint64(rice - 1 - k)
+        gaps |= rests[:, k].astype(np.uint64) << np.uint64(rice - 1 - k)
     return np.cumsum(gaps, dtype=np.uint64)
 
 
@@ -120,7 +121,7 @@ def _answer(pdf):  # noqa: ANN001, ANN202
     return pdf[["sender", "owner"]].assign(bitmap=[np.packbits(m).tobytes() for m in marks])
 
 
-def exact_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", fp_bits: int = 52, rows_per_owner: int = 500_000, rows_per_sender: int = 200_000, broadcast_rows: int = 2_000_000) -> DataFrame:
+def exact_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", fp_bits: int = 52, rows_per_owner: int = 500_000, rows_per_sender: int = 200_000, broadcast_rows: int = 2_000_000, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256, fp and row (a row's own number) of every row of ``docs``.
 
     The table of suspect fingerprints (one long for each class of copies) is
@@ -138,12 +139,13 @@ def exact_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
             f"sender long, owner long, n long, rice int, code binary, twice binary, members array<struct<doc_id:{key},fp:long,sha:binary,rank:long>>",
         )
     )
-    bitmaps = sent.select("sender", "owner", "n", "rice", "code", "twice").groupBy("owner").applyInPandas(_answer, "sender long, owner long, bitmap binary")
+    bitmaps = stored(sent.select("sender", "owner", "n", "rice", "code", "twice").groupBy("owner").applyInPandas(_answer, "sender long, owner long, bitmap binary"))
+    weight = bitmaps.agg(F.sum(F.octet_length("bitmap") + 16)).first()[0] or 0
     # bit r of a bitmap, from its highest
     byte = F.conv(F.hex(F.substring("bitmap", (F.col("rank") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     rows = stored(
-        sent.select("sender", "owner", F.posexplode("members").alias("pos", "m")).select("sender", "owner", "pos", "m.*")
-        .join(bitmaps, ["sender", "owner"])
+        sent.select("sender", "owner", "members").join(F.broadcast(bitmaps) if weight <= broadcast_bytes else bitmaps, ["sender", "owner"])
+        .select("sender", "owner", "bitmap", F.posexplode("members").alias("pos", "m")).select("sender", "owner", "bitmap", "pos", "m.*")
         .select("doc_id", "fp", "sha", F.struct("sender", "owner", "pos").alias("row"), (F.getbit(byte, (F.lit(7) - F.col("rank") % 8).cast("int")) == 1).alias("suspect"))
     )
     suspects = rows.filter("suspect")
@@ -154,31 +156,36 @@ def exact_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"))).alias("first")
     # written first, so that the last join stands alone in its stage and Spark can split a hot class's rows
     heads = stored(suspects.groupBy("sha").agg(first).join(same, "sha"))
-    out = rows.join(heads, "sha", "left")
-    return out.select(
-        "doc_id",
-        F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("keep_id"),
-        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        (F.col("first").isNull() | (F.col("first.row") == F.col("row"))).alias("kept"),
-        F.lower(F.hex("sha")).alias("text_sha256"),
-        "fp",
-        "row",
+    digest = F.lower(F.hex("sha")).alias("text_sha256")
+    alone = rows.filter("NOT suspect").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), digest, "fp", "row")
+    return alone.union(
+        suspects.join(heads, "sha", "left").select(
+            "doc_id",
+            F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("keep_id"),
+            F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+            (F.col("first").isNull() | (F.col("first.row") == F.col("row"))).alias("kept"),
+            digest,
+            "fp",
+            "row",
+        )
     )
 
 
 def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", broadcast_rows: int = 1_000_000, **how: int) -> DataFrame:
     """``docs`` without the rows that :func:`exact_duplicates` drops.
 
-    What goes is a list of (doc_id, hash, copies to keep), broadcast if it has
+    What goes is a list of (doc_id, hash, whether a copy stays), broadcast if it has
     at most ``broadcast_rows`` rows (about 24 bytes each), else shuffled.
     """
     found = exact_duplicates(docs, doc_id=doc_id, text=text, **how)
-    gone = stored(found.filter("group_size > 1").groupBy(F.col("doc_id").alias("_gone"), F.col("fp").alias("_fp")).agg(F.max("kept").alias("_one"), F.count("*").alias("_rows")).filter("NOT _one OR _rows > 1"))
+    g_id, g_fp, g_one, g_rows, own_fp = fresh(docs.columns, "g_id", "g_fp", "g_one", "g_rows", "own_fp")
+    gone = found.filter("group_size > 1").groupBy(F.col("doc_id").alias(g_id), F.col("fp").alias(g_fp)).agg(F.max("kept").alias(g_one), F.count("*").alias(g_rows))
+    gone = stored(gone.filter(~F.col(g_one) | (F.col(g_rows) > 1)))
     side = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
-    marked = docs.withColumn("_own_fp", F.xxhash64(normalised(text)))
-    left = marked.join(side, F.col(doc_id).eqNullSafe(F.col("_gone")) & (F.col("_own_fp") == F.col("_fp")), "left")
-    plain = left.filter("_one IS NULL").select(*docs.columns)
-    if not gone.filter("_one").limit(1).count():
+    marked = docs.withColumn(own_fp, F.xxhash64(normalised(text)))
+    left = marked.join(side, F.col(doc_id).eqNullSafe(F.col(g_id)) & (F.col(own_fp) == F.col(g_fp)), "left")
+    plain = left.filter(F.col(g_one).isNull()).select(*docs.columns)
+    if not gone.filter(F.col(g_one)).limit(1).count():
         return plain
     # rows that repeat doc_id and text: one of them stays
-    return plain.union(left.filter("_one").dropDuplicates([doc_id, "_own_fp"]).select(*docs.columns))
+    return plain.union(left.filter(F.col(g_one)).dropDuplicates([doc_id, own_fp]).select(*docs.columns))
