@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import blocks, stored, text_batches
+from ._common import blocks, fresh, stored, text_batches
 from .encoding import encoder
 
 
@@ -213,8 +213,16 @@ def plan(histogram: dict[int, int], capacity: int, *, groups: int = 128, small:
     return np.array(sorted(out.placed), np.int64).reshape(-1, 5), out.n
 
 
-def pack(items: DataFrame, *, length: str = "length", capacity: int = 2048, per_bucket: int = 2000, groups: int = 128) -> DataFrame:
-    """``items`` with sequence_id and offset: no sequence holds more than ``capacity`` tokens."""
+def pack(items: DataFrame, *, length: str = "length", carried: tuple[str, ...] = ("ids",), capacity: int = 2048, per_bucket: int = 2000, groups: int = 128) -> DataFrame:
+    """``items`` with sequence_id and offset: no sequence holds more than ``capacity`` tokens.
+
+    Items of one length are told apart by their columns but the ``carried`` ones,
+    which other columns name or sum up.
+    Columns sequence_id and offset of the input give way to those of the result; others may have any names.
+    """
+    items = items.drop("sequence_id", "offset")
+    own = [c for c in items.columns if c not in carried] or [length]
+    n_, buckets, bucket, base_, rank_, at_ = fresh(items.columns, "n_", "buckets", "bucket_", "base_", "rank_", "at_")
     spark = items.sparkSession
     items = stored(items)
     histogram = {int(r[0]): int(r[1]) for r in items.groupBy(length).count().collect()}
@@ -226,11 +234,21 @@ def pack(items: DataFrame, *, length: str = "length", capacity: int = 2048, per_
         at = np.searchsorted(keys, (n.to_numpy() << 44) | rank.to_numpy(), side="right") - 1
         return pd.DataFrame({"sequence_id": runs[at, 3] + rank.to_numpy() - runs[at, 1], "offset": runs[at, 4]})
 
-    sizes = spark.createDataFrame([(n, max(1, -(-c // per_bucket))) for n, c in histogram.items()], "_n long, _buckets int")
-    spread = items.join(F.broadcast(sizes), items[length] == F.col("_n")).withColumn("_bucket", F.pmod(F.xxhash64(*items.columns, F.floor(F.rand(42) * 1024)), "_buckets").cast("int")).drop("_buckets")
+    sizes = spark.createDataFrame([(n, max(1, -(-c // per_bucket))) for n, c in histogram.items()], f"{n_} long, {buckets} int")
+    spread = items.join(F.broadcast(sizes), items[length] == F.col(n_)).withColumn(bucket, F.pmod(F.xxhash64(*own, F.floor(F.rand(42) * 1024)), buckets).cast("int")).drop(buckets)
     spread = stored(spread)
-    before = Window.partitionBy("_n").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = spread.groupBy("_n", "_bucket").count().select("_n", "_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("_n", "_bucket").orderBy(*items.columns)
-    ranked = spread.join(base, ["_n", "_bucket"]).withColumn("_rank", F.col("_base") + F.row_number().over(inside) - 1)
-    return ranked.withColumn("_at", place("_n", "_rank")).select(*items.columns, "_at.sequence_id", "_at.offset")
+    before = Window.partitionBy(n_).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    base = spread.groupBy(n_, bucket).agg(F.count("*").alias(base_)).withColumn(base_, F.coalesce(F.sum(base_).over(before), F.lit(0)))
+    inside = Window.partitionBy(n_, bucket).orderBy(*own)
+    ranked = spread.join(base, [n_, bucket]).withColumn(rank_, F.col(base_) + F.row_number().over(inside) - 1)
+    return ranked.withColumn(at_, place(n_, rank_)).select(*items.columns, F.col(at_)["sequence_id"].alias("sequence_id"), F.col(at_)["offset"].alias("offset"))
+
+
+def sequences(packed: DataFrame) -> DataFrame:
+    """sequence_id, n_tokens and ids (little-endian uint32) of each sequence of packed pieces with their ids.
+
+    A sequence has ``capacity`` tokens at most, so a group is bounded.
+    """
+    rows = packed.groupBy("sequence_id").agg(F.sum("length").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
+    join = F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["ids"]))
+    return rows.select("sequence_id", "n_tokens", join.alias("ids"))
