@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections.abc import Callable
 
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.llm import exact_dedup, mixing, packing, quality_rules, shingles, simhash
-from driftline.llm._common import shared_folder
+from driftline.llm._common import removed, shared_folder
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +34,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sequences' contents, a row for each piece of a document."""
-    cut = packing.pieces(docs).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    """The sequences' contents, a row for each piece of a document with its ids; ``packing.sequences`` joins them."""
+    cut = packing.pieces(docs).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "ids")
     return packing.pack(cut)
 
 
@@ -51,10 +52,16 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
+    """All stages over ``documents``, each written and read again.
+
+    A stage's table goes when the next one is written, the last when the driver's Python ends.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES:
+    atexit.register(removed, spark, folder)
+    for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if k:
+            removed(spark, f"{folder}/{STAGES[k - 1][0]}")
     return docs
