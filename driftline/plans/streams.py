@@ -50,7 +50,11 @@ def stream_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.drained(live.intake(live.read_events(spark, sf_dir), delay="31 days")).select("session", "event_id", "value")
 
 
-@query()
+@query("""
+, s AS (SELECT user_id AS session, t_us // 21600000000 * 21600000000 AS start_us, event_id, value, t_us FROM ev)
+SELECT session, start_us, event_id, value, count(*) OVER (PARTITION BY session, start_us) AS n FROM s
+QUALIFY row_number() OVER (PARTITION BY session, start_us ORDER BY t_us DESC, event_id DESC) = 1""")
 def stream_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last sample of each six hours, when the watermark has passed them."""
-    return live.drained(live.throttled(live.read_events(spark, sf_dir), "6 hours", "1 hour"))
+    """The last sample of each six hours; draining flushes the slots that no watermark has passed."""
+    out = live.drained(live.throttled(live.read_events(spark, sf_dir), "6 hours", "1 hour"), "complete")
+    return out.select("session", F.unix_micros("start").alias("start_us"), "event_id", "value", "n")

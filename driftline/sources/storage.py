@@ -11,9 +11,11 @@ _local: list[str] = []
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below ``spark.checkpoint.dir``; below a temporary folder only where that is unset, as in tests."""
+    """A fresh path below ``spark.checkpoint.dir``; below a temporary folder only where that is unset and the master is local, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that the executors share")
         if not _local:
             _local.append(tempfile.mkdtemp(prefix="driftline-"))
         base = f"file://{_local[0]}"

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,16 +33,12 @@ def classified(stream: DataFrame, *, bound_us: int, gap_us: int) -> DataFrame:
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         newest = state.get[0] if state.exists else None
         pdf = pd.concat(list(frames)).sort_values("event_id", kind="stable")
-        status = []
-        for t in pdf["t_us"]:
-            if newest is None:
-                status.append("OK")
-            elif newest - t > bound_us:
-                status.append("LATE")
-            else:
-                status.append("GAP" if t - newest > gap_us else "OK")
-            newest = t if newest is None else max(newest, t)
-        state.update((int(newest),))
+        t = pdf["t_us"].to_numpy()
+        # the newest time before each sample; the very first sample stands for its own
+        before = np.maximum.accumulate(np.r_[t[0] if newest is None else newest, t])
+        late, gap = before[:-1] - t > bound_us, t - before[:-1] > gap_us
+        status = np.where(late, "LATE", np.where(gap, "GAP", "OK"))
+        state.update((int(before[-1]),))
         yield pd.DataFrame({"session": key[0], "channel": key[1], "event_id": pdf["event_id"].to_numpy(), "status": status})
 
     return stream.groupBy("session", "channel").applyInPandasWithState(run, "session long, channel string, event_id long, status string", "newest long", "append", GroupStateTimeout.NoTimeout)
