@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.operators import temporal, windows
+from driftline.operators.sequential import Step, last_nulls, stepped
 
 
 def integral_means(signal: DataFrame, intervals: DataFrame, keys: list[str], t: str, y: str, start: str, end: str, scale: float = 1.0) -> DataFrame:
@@ -59,21 +60,28 @@ def greedy_pairs(rows: DataFrame, session: str, *, most: int) -> DataFrame:
     Of two that are too far apart the older one goes; what is paired is used up.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    columns = ["t", "sensor", "id"]
+
+    def start() -> Step:
         held: dict[str, tuple[int, int]] = {}
-        out = []
-        for t, sensor, i in pdf.sort_values(["t", "sensor", "id"])[["t", "sensor", "id"]].itertuples(index=False):
-            held[sensor] = (t, i)
-            if len(held) == 2:
-                (ta, a), (tb, b) = held["a"], held["b"]
-                if abs(ta - tb) <= most:
-                    out.append((pdf[session].iloc[0], max(ta, tb), a, b))
-                    held.clear()
-                else:
-                    held.pop("a" if ta < tb else "b")
-        return pd.DataFrame(out, columns=[session, "t", "id_a", "id_b"])
-
-    return rows.groupBy(session).applyInPandas(run, f"{session} {dict(rows.dtypes)[session]}, t long, id_a long, id_b long")
+
+        def step(pdf: pd.DataFrame) -> tuple[np.ndarray, dict]:
+            at, out = [], []
+            for k, (t, sensor, i) in enumerate(pdf[columns].itertuples(index=False)):
+                held[sensor] = (t, i)
+                if len(held) == 2:
+                    (ta, a), (tb, b) = held["a"], held["b"]
+                    if abs(ta - tb) <= most:
+                        at.append(k), out.append((max(ta, tb), a, b))
+                        held.clear()
+                    else:
+                        held.pop("a" if ta < tb else "b")
+            pairs = np.array(out, np.int64).reshape(-1, 3)
+            return np.array(at, np.int64), {"t": pairs[:, 0], "id_a": pairs[:, 1], "id_b": pairs[:, 2]}
+
+        return step
+
+    return stepped(rows, session, last_nulls(*columns), columns, start, "t long, id_a long, id_b long")
 
 
 def mount_yaw(rows: DataFrame, keys: list[str], ax: str, ay: str, forward: str, left: str, *, least: int) -> DataFrame:

@@ -226,3 +226,27 @@ def test_every_drive_is_held_out_once(spark, sf):
                 want[fold, u % 5] = want.get((fold, u % 5), 0) + 1
     got = [(r.fold, r.grp, r.n) for r in plans.QUERIES["leave_one_out_every_fold"](spark, sf).collect()]
     assert len(got) == len(want) and {(f, g): n for f, g, n in got} == want
+
+
+def test_steps_carry_their_state_over_batches(spark):
+    """A session cut into batches of two rows gives what it gives whole, and a null session is one."""
+    draw = np.random.default_rng(3)
+    kinds = ["fix", "speed", "stop"]
+    rows = [(s, float(i), kinds[i % 3], *map(float, draw.normal(0, 2, 4))) for s in (1, 2**60 + 1, None) for i in range(25)]
+    fixes = spark.createDataFrame(rows, "session long, t double, kind string, east double, north double, speed double, heading double")
+    turned = fixes.selectExpr("session", "t", "east AS gx", "north AS gy", "1.0D AS gz")
+    lattice = fixes.selectExpr("session", "t", "explode(array(1L, 2L, 3L)) AS segment", "east", "north").selectExpr("session", "t", "segment", "segment AS u", "segment + 1 AS v", "-abs(east - segment) AS log_emission", "abs(north) AS travelled_m", "east * segment AS along_m")
+    moved = fixes.selectExpr("session", "t / 4 AS t", "east AS fx", "north AS fy", "9.8D AS fz", "speed AS wx", "heading AS wy", "0.1D AS wz")
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    out = {}
+    try:
+        for n in (2, 10_000):
+            spark.conf.set(size, n)
+            got = sequential.filtered(fixes, "session"), sequential.slips(turned, "session", dwell=1, cooldown=2.0), sequential.viterbi(lattice, "session"), sequential.propagated(moved, "session")
+            out[n] = [sorted(map(repr, x.collect())) for x in got]
+    finally:
+        spark.conf.set(size, before)
+    assert out[2] == out[10_000]
+    assert [len(x) for x in out[2]][::2] == [75, 75] and len(out[2][3]) == 75 and len(out[2][1]) > 3
+    assert any("session=None" in x for x in out[2][0]) and any(f"session={2**60 + 1}" in x for x in out[2][0])
