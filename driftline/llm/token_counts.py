@@ -13,8 +13,10 @@ So every token counts once; one that touches no section counts as outside
 (section -1). A token that is a part of a character spans that character.
 
 Defined cases: a null text counts as empty; a document without sections gives
-a row for section -1 alone; sections are sorted by their start, and overlapping ones are
-an error; rows that repeat a doc_id are all returned.
+a row for section -1 alone; sections are sorted by their start, those with a null
+start or stop left out; rows that repeat a doc_id are all returned. Where sections overlap or
+end before they start, ``broken`` decides: ``raise`` ends the job, ``mark`` gives the document one row, section
+-2, with all its tokens.
 """
 
 from __future__ import annotations
@@ -48,7 +50,7 @@ def allocate(begin: np.ndarray, end: np.ndarray, start: np.ndarray, stop: np.nda
     return out
 
 
-def token_counts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sections: str | None = None, rule: str = "largest", tokenizer: str | None = None) -> DataFrame:
+def token_counts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sections: str | None = None, rule: str = "largest", broken: str = "raise", tokenizer: str | None = None) -> DataFrame:
     """doc_id, section, start, stop, n_tokens and n_doc_tokens, a row for each section of each row.
 
     ``sections`` names an array column of structs (start, stop) in code points;
@@ -57,6 +59,8 @@ def token_counts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     """
     if rule not in RULES:
         raise ValueError(f"rule is one of {RULES}")
+    if broken not in ("raise", "mark"):
+        raise ValueError("broken is raise or mark")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
@@ -78,11 +82,14 @@ def token_counts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
                     stop = np.r_[start[1:], len(t)]
                 else:
                     s = b.column(2)[i].values
-                    start, stop = (s.field(k).to_numpy(zero_copy_only=False).astype(np.int64) if s is not None else np.zeros(0, np.int64) for k in (0, 1))
-                    order = np.lexsort((stop, start))
-                    start, stop = start[order], stop[order]
+                    spans = [x for x in zip(*(s.flatten()[k].to_pylist() for k in (0, 1)), strict=True) if None not in x] if s is not None else []
+                    start, stop = np.array(sorted(spans), np.int64).reshape(-1, 2).T
                     if (start[1:] < stop[:-1]).any() or (stop < start).any():
-                        raise ValueError("sections overlap")
+                        if broken == "raise":
+                            raise ValueError("sections overlap")
+                        for x, y in zip(rows, (i, -2, 0, len(t), len(ids), len(ids)), strict=True):
+                            x.append(np.array([y]))
+                        continue
                 at = allocate(begin, end, start, stop, rule)
                 n = np.bincount(at + 1, minlength=len(start) + 1)
                 skip = int(n[0] == 0 and len(start) > 0)

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from driftline.llm import _common, chat, exact_dedup, lm_scoring, mixing, packing, quality_rules, sharding, shingles, simhash, url_filters
+from driftline.llm import _common, chat, exact_dedup, lm_scoring, mixing, packing, quality_rules, sharding, shingles, simhash, token_counts, url_filters
 from driftline.llm._bytes import xxh64
 
 CLASHES = [
@@ -180,3 +180,16 @@ def test_only_suspects_are_joined(spark, docs):
     union = plan[plan.index("Union") :]
     # of the union's two sides one is a scan without a shuffle; the other filters suspects before its own
     assert union.count("SortMergeJoin") == 1 and "NOT suspect" in union
+
+
+def test_token_counts_of_broken_sections(spark):
+    """Overlapping or reversed sections mark their document, null bounds are left out, and the others count as ever."""
+    rows = [(1, "one two three", [(0, 5), (3, 8)]), (2, "one two three", [(8, 2)]), (3, "one two three", [(0, 3), None, (None, 9), (3, 13)]), (4, "one two three", None), (5, None, [(0, 0)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, s array<struct<start:long,stop:long>>")
+    got = token_counts.token_counts(docs, sections="s", broken="mark").collect()
+    total = {r.doc_id: r.n_doc_tokens for r in got}
+    assert {d: sum(r.n_tokens for r in got if r.doc_id == d) for d in total} == total
+    assert {(r.doc_id, r.section) for r in got} == {(1, -2), (2, -2), (3, 0), (3, 1), (4, -1), (5, 0)}
+    assert [(r.start, r.stop) for r in got if r.section == -2] == [(0, 13)] * 2
+    with pytest.raises(ValueError):
+        token_counts.token_counts(docs, sections="s", broken="drop")
