@@ -3,6 +3,7 @@
 import time
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -193,3 +194,37 @@ def test_token_counts_of_broken_sections(spark):
     assert [(r.start, r.stop) for r in got if r.section == -2] == [(0, 13)] * 2
     with pytest.raises(ValueError):
         token_counts.token_counts(docs, sections="s", broken="drop")
+
+
+def test_each_document_s_taken_words_by_hand(docs, odd):
+    """The slots of van der Corput's points, written as fractions, name each source's blocks; each word of a block counts once."""
+    block = 64
+    for df in (docs, odd):
+        documents, mix = mixing.schedule(df, block=block, rows_per_bucket=7)
+        got = mixing.taken(df, block=block, rows_per_bucket=7).collect()
+        slots = {(r.slot, r.source): r.n for r in mix.groupBy("slot", "source").agg(F.sum("length").alias("n")).collect()}
+        rows = defaultdict(list)
+        for r in got:
+            rows[r.source].append(r)
+        names = sorted(rows, key=lambda s: (s is None, s or ""))
+        take = [int(rows[s][0].target) for s in names]
+        need = [-(-t // block) for t in take]
+        edge = [Fraction(sum(need[:k]), max(1, sum(need))) for k in range(len(need) + 1)]
+        words, nth = defaultdict(Counter), Counter()
+        flat = {s: [at for at, r in enumerate(sorted(rows[s], key=lambda r: (r.key, r.doc_id is not None, r.doc_id or 0))) for _ in range(r["size"])] for s in names}
+        want = {}
+        bits = max(1, sum(need) - 1).bit_length()
+        for slot in range(1 << bits):
+            v = Fraction(int(format(slot, f"0{bits}b")[::-1], 2), 1 << bits)
+            k = max(i for i, e in enumerate(edge[:-1]) if e <= v and edge[i + 1] > e)
+            r = nth[k]
+            nth[k] += 1
+            if r < need[k]:
+                part = [flat[names[k]][at % len(flat[names[k]])] for at in range(r * block, min((r + 1) * block, take[k]))]
+                words[names[k]].update(part)
+                want[slot, names[k]] = len(part)
+        assert slots == want
+        for s in names:
+            order = sorted(rows[s], key=lambda r: (r.key, r.doc_id is not None, r.doc_id or 0))
+            # rows that repeat a document trade places
+            assert Counter((r.key, r.taken) for r in order) == Counter((r.key, words[s][at]) for at, r in enumerate(order))
