@@ -183,17 +183,18 @@ def filtered(rows: DataFrame, session: str, *, accel: float = 1.5, fix_m: float
     return stepped(rows, session, last_nulls(*columns), columns, start, "t double, kind string, east double, north double, v_east double, v_north double, sigma double, taken boolean, nis double")
 
 
-def viterbi(candidates: DataFrame, session: str, *, beta_m: float = 30.0, jump: float = -12.0) -> DataFrame:
+def viterbi(candidates: DataFrame, session: str, *, fix: str | None = None, beta_m: float = 30.0, jump: float = -12.0) -> DataFrame:
     """The likeliest segment at each time of a session: (t, segment, confidence).
 
     Rows are (t, segment, u, v, log_emission, travelled_m, along_m). Going on along a segment or
     to one that shares a node costs by how far the way along the road differs from what
     was travelled; any other change costs ``jump``. The confidence is the forward share of the chosen one.
+    ``fix`` names a column (long) that tells fixes of one time apart and orders them: each is a step of its own.
     """
 
     fields = ["segment", "u", "v", "log_emission", "travelled_m", "along_m"]
-    # the candidates of one time are few: one row for each time
-    steps = candidates.groupBy(session, "t").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("c")).select(session, "t", *[F.col(f"c.{x}").alias(x) for x in fields])
+    # the candidates of one fix are few: one row for each fix
+    steps = candidates.groupBy(session, "t", (F.col(fix) if fix else F.lit(0)).cast("long").alias("fix")).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("c")).select(session, "t", "fix", *[F.col(f"c.{x}").alias(x) for x in fields])
 
     def onward() -> Step:
         before, score, forward = None, None, None
@@ -225,7 +226,7 @@ def viterbi(candidates: DataFrame, session: str, *, beta_m: float = 30.0, jump:
                 backs.append(back.tolist())
                 shares.append((x / x.sum()).tolist())
                 best[i] = score.argmax()
-            out = {"t": pdf["t"].to_numpy(), "segment": pa.array(pdf["segment"], pa.list_(pa.int64())), "back": pa.array(backs, pa.list_(pa.int64())), "share": pa.array(shares, pa.list_(pa.float64())), "best": best}
+            out = {"t": pdf["t"].to_numpy(), "fix": pdf["fix"].to_numpy(), "segment": pa.array(pdf["segment"], pa.list_(pa.int64())), "back": pa.array(backs, pa.list_(pa.int64())), "share": pa.array(shares, pa.list_(pa.float64())), "best": best}
             return np.arange(len(pdf)), out
 
         return step
@@ -243,8 +244,8 @@ def viterbi(candidates: DataFrame, session: str, *, beta_m: float = 30.0, jump:
 
         return step
 
-    trellis = stepped(steps, session, last_nulls("t"), ["t", *fields], onward, "t double, segment array<long>, back array<long>, share array<double>, best long")
-    return stepped(trellis, session, [F.col("t").desc_nulls_first()], ["t", "segment", "back", "share", "best"], backward, "t double, segment long, confidence double")
+    trellis = stepped(steps, session, last_nulls("t", "fix"), ["t", "fix", *fields], onward, "t double, fix long, segment array<long>, back array<long>, share array<double>, best long")
+    return stepped(trellis, session, [F.col("t").desc_nulls_first(), F.col("fix").desc_nulls_first()], ["t", "segment", "back", "share", "best"], backward, "t double, segment long, confidence double")
 
 
 def solved(rows: DataFrame, keys: list[str], x: list[str], y: str, *, condition: float = 1e6) -> DataFrame:

@@ -162,13 +162,13 @@ def match_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hmm_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The likeliest road at each fix of a session, by a trellis over the ranked candidates."""
     near = near_segments(spark, sf_dir, 8)
-    w = Window.partitionBy("user_id").orderBy("t_us")
+    w = Window.partitionBy("user_id").orderBy("t_us", "event_id")
     along = F.col("place") * geodesy.planar(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
     emission = spatial.emission(F.col("distance_m") / 10, undirected_residual(F.radians("bearing"), F.col("heading")))
     step = geodesy.planar(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon"))
-    fixes = near.select("user_id", "t_us", "lat", "lon").distinct().select("user_id", "t_us", F.coalesce(step, F.lit(0.0)).alias("travelled_m"))
-    rows = near.join(fixes, ["user_id", "t_us"]).select("user_id", (F.col("t_us") / 1e6).alias("t"), "segment", F.xxhash64("lat1", "lon1").alias("u"), F.xxhash64("lat2", "lon2").alias("v"), emission.alias("log_emission"), "travelled_m", along.alias("along_m"))
-    return sequential.viterbi(rows, "user_id")
+    fixes = near.select("user_id", "event_id", "t_us", "lat", "lon").distinct().select("user_id", "event_id", F.coalesce(step, F.lit(0.0)).alias("travelled_m"))
+    rows = near.join(fixes, ["user_id", "event_id"]).select("user_id", "event_id", (F.col("t_us") / 1e6).alias("t"), "segment", F.xxhash64("lat1", "lon1").alias("u"), F.xxhash64("lat2", "lon2").alias("v"), emission.alias("log_emission"), "travelled_m", along.alias("along_m"))
+    return sequential.viterbi(rows, "user_id", fix="event_id")
 
 
 @query("""
