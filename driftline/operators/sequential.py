@@ -2,7 +2,8 @@
 
 Spark spreads the sessions (drives) and sorts each by time; numpy takes the
 steps. A task holds a batch of rows and the small state of one session, so a
-session may be of any length.
+session may be of any length; :func:`planned` alone gathers a session's
+candidate times in one array.
 """
 
 from __future__ import annotations
