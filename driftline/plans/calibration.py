@@ -99,18 +99,25 @@ def first_valid_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-, f AS (SELECT user_id, event_id, t_us, value, row_number() OVER (PARTITION BY user_id ORDER BY t_us) AS k FROM ev WHERE event_type = 'view'),
-h AS (SELECT unnest([6, 12, 24, 48])::BIGINT AS horizon_h),
-s AS (SELECT f.user_id, f.event_id, horizon_h, value, t_us + horizon_h * 3600000000 AS t FROM f, h WHERE (k - 1) % 4 = 0),
+, b0 AS (SELECT user_id, event_id, event_type, t_us, value, min(t_us) OVER (PARTITION BY user_id) AS begun FROM ev),
+f AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t_us, event_id) AS k FROM b0 WHERE event_type = 'view'),
+h AS (SELECT unnest([2, 5, 10, 15, 20, 30, 45, 60])::BIGINT AS horizon_h),
+s AS (SELECT f.user_id, f.event_id, horizon_h, value, t_us + horizon_h * 3600000000 AS t FROM f, h WHERE (k - 1) % 4 = 0 AND value >= 3 AND t_us - begun >= 5 * 3600000000),
 v AS (SELECT user_id, t_us, avg(value) AS value FROM ev WHERE event_type = 'view' GROUP BY ALL),
 a AS (SELECT s.*, v.t_us AS t0, v.value AS v0 FROM s ASOF JOIN v ON s.user_id = v.user_id AND s.t >= v.t_us),
 b AS (SELECT a.*, v.t_us AS t1, v.value AS v1 FROM a ASOF JOIN v ON a.user_id = v.user_id AND a.t <= v.t_us)
 SELECT user_id, event_id, horizon_h, round_even(CASE WHEN t1 = t0 THEN v0 ELSE v0 + (v1 - v0) * ((t - t0) / (t1 - t0)::DOUBLE) END - value, 6) AS residual FROM b""")
 def training_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fourth fix at four horizons, with the change until then."""
-    ev = events(spark, sf_dir).filter("event_type = 'view'").select("user_id", "event_id", "t_us", "value")
-    k = F.row_number().over(Window.partitionBy("user_id").orderBy("t_us"))
-    s = ev.withColumn("k", k).filter("(k - 1) % 4 = 0").withColumn("horizon_h", F.explode(F.array(*[F.lit(h).cast("long") for h in (6, 12, 24, 48)]))).withColumn("t_us", F.col("t_us") + F.col("horizon_h") * HOUR_US)
+    """Every fourth fix at eight horizons, with the change until then.
+
+    A fix is eligible from the fifth hour of its session on and at a value of 3 at least.
+    """
+    begun = F.min("t_us").over(Window.partitionBy("user_id"))
+    ev = events(spark, sf_dir).select("user_id", "event_id", "event_type", "t_us", "value").withColumn("begun", begun).filter("event_type = 'view'")
+    k = F.row_number().over(Window.partitionBy("user_id").orderBy("t_us", "event_id"))
+    horizons = F.explode(F.array(*[F.lit(h).cast("long") for h in (2, 5, 10, 15, 20, 30, 45, 60)]))
+    eligible = ev.withColumn("k", k).filter((F.col("k") % 4 == 1) & (F.col("value") >= 3) & (F.col("t_us") - F.col("begun") >= 5 * HOUR_US))
+    s = eligible.select("user_id", "event_id", "t_us", "value", horizons.alias("horizon_h")).withColumn("t_us", F.col("t_us") + F.col("horizon_h") * HOUR_US)
     out = temporal.interp_join(s.withColumnRenamed("value", "v"), ev.select("user_id", "t_us", "value"), ["user_id"], "t_us", ["value"]).filter("i_value IS NOT NULL")
     return out.select("user_id", "event_id", "horizon_h", r(F.col("i_value") - F.col("v")).alias("residual"))
 

@@ -249,17 +249,17 @@ def calibration_release(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-, k AS (SELECT user_id, list_sort(list(DISTINCT md5(event_type || (floor(value * 10)::BIGINT % 50)::VARCHAR)))[1:16] AS f FROM ev GROUP BY user_id)
+, k AS (SELECT user_id, list_sort(list(DISTINCT md5(event_type || (floor(value * 10)::BIGINT % 50)::VARCHAR)))[1:64] AS f FROM ev GROUP BY user_id)
 SELECT a.user_id AS a, b.user_id AS b, len(list_intersect(a.f, b.f))::BIGINT AS n_shared FROM k a JOIN k b ON a.user_id < b.user_id AND a.user_id // 10 = b.user_id // 10 WHERE len(list_intersect(a.f, b.f)) >= 8""")
 def bottom_k_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions of one recording that share at least 8 of their 16 smallest row hashes.
+    """Sessions of one recording that share at least 8 of their 64 smallest row hashes.
 
     Pairs come from shared hashes (an equi-join), so sessions without any in common never meet.
     """
     row = F.md5(F.concat("event_type", (F.floor(F.col("value") * 10) % 50).cast("string")).cast("binary"))
     hashes = events(spark, sf_dir).select("user_id", row.alias("h")).distinct()
     rank = F.row_number().over(Window.partitionBy("user_id").orderBy("h"))
-    k = hashes.withColumn("k", rank).filter("k <= 16").select("user_id", "h", F.expr("user_id div 10").alias("recording"))
+    k = hashes.withColumn("k", rank).filter("k <= 64").select("user_id", "h", F.expr("user_id div 10").alias("recording"))
     b = k.select(F.col("user_id").alias("b"), "h", "recording")
     return k.withColumnRenamed("user_id", "a").join(b, ["recording", "h"]).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n_shared")).filter("n_shared >= 8")
 
