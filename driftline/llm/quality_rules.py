@@ -3,14 +3,15 @@
 Every text is measured once in numpy batches. Lines are normalised (ASCII
 lower case, white space collapsed), hashed (XXH64) and counted over the distinct
 texts of each host. A line that more than ``max_share`` of a host's texts carry
-(and more than ``min_texts``) is boilerplate and is removed; a document that
-loses more than ``max_lost`` of its words that way is depleted and rejected.
-Copies of one text count once, so that a much copied clean document is left to
-the deduplication.
+(and more than ``min_texts``), or more than ``max_texts`` whatever the host's size,
+is boilerplate and is removed; a document that loses more than ``max_lost`` of its
+words that way is depleted and rejected. Texts that are equal when normalised as
+lines are count once, so that a much copied clean document is left to the
+deduplication.
 
 Defined cases: a null or empty text has no words and fails the base rules;
-a null host is a host of its own; repeated rows are judged alike and all
-returned; an empty table gives an empty result. Other columns are ignored.
+a null host is a host of its own; the texts of a host that have no words count as
+one; repeated rows are judged alike and all returned; an empty table gives an empty result. Other columns are ignored.
 Equality of words and lines is equality of 64-bit hashes.
 """
 
@@ -85,15 +86,16 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to = np.r_[0, np.cumsum(stops - starts + 1)]
         flat[to[1:] - 1] = 32
         line = xxh64(flat, to[w0], to[w1] - 1).view(np.int64)
+        same = xxh64(flat, to[first[:-1]], np.maximum(to[first[1:]] - 1, to[first[:-1]])).view(np.int64)
         at = np.searchsorted(doc, np.arange(n + 1)).astype(np.int32)
         lines = pa.ListArray.from_arrays(at, pa.StructArray.from_arrays([pa.array(line), pa.array(w1 - w0)], ["line", "words"]))
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(1), b.column(2), *map(pa.array, (n_words, chars, symbols, dup, repeat)), lines],
-            ["doc_id", "host", "content", *(x.split()[0] for x in MEASURES.split(", ")), "lines"],
+            [b.column(0), b.column(1), b.column(2), *map(pa.array, (n_words, chars, symbols, dup, repeat, same)), lines],
+            ["doc_id", "host", "content", *(x.split()[0] for x in MEASURES.split(", ")), "same", "lines"],
         )
 
 
-def quality_rules(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host: str = "source", min_words: int = 50, max_repeat_percent: int = 50, min_texts: int = 10, max_share: float = 0.02, max_lost: float = 0.8) -> DataFrame:
+def quality_rules(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host: str = "source", min_words: int = 50, max_repeat_percent: int = 50, min_texts: int = 10, max_share: float = 0.02, max_texts: int = 10_000, max_lost: float = 0.8) -> DataFrame:
     """One row per row of ``docs`` with its measures, verdicts and the lines to remove.
 
     Columns: doc_id, host and content (hashes that :func:`cleaned` joins on),
@@ -104,24 +106,25 @@ def quality_rules(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     key = dict(docs.dtypes)[doc_id]
     seen = stored(
         text_batches(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(host).alias("host"), F.xxhash64(text).alias("content"), F.col(text).alias("text")))
-        .mapInArrow(_measured, f"doc_id {key}, host long, content long, {MEASURES}, lines array<struct<line:long,words:long>>")
+        .mapInArrow(_measured, f"doc_id {key}, host long, content long, {MEASURES}, same long, lines array<struct<line:long,words:long>>")
     )
-    texts = stored(seen.select("host", "content", "lines").dropDuplicates(["host", "content"]))
-    limits = texts.groupBy("host").agg(F.greatest(F.lit(float(min_texts)), F.count("*") * F.lit(max_share)).alias("limit"))
+    texts = stored(seen.select("host", "content", "same", "lines").dropDuplicates(["host", "content"]))
+    share = F.greatest(F.lit(float(min_texts)), F.count_distinct("same") * F.lit(max_share))
+    limits = texts.groupBy("host").agg(F.least(share, F.lit(float(max_texts))).alias("limit"))
     lines = texts.select("host", "content", F.inline("lines"))
     # written first, as is what comes of it, so that each join with many rows stands alone in its stage
     # and Spark can split the rows of a hot line or text
     frequent = stored(
-        texts.select("host", F.explode(F.array_distinct(F.col("lines.line"))).alias("line"))
-        .groupBy("host", "line").agg(F.count("*").alias("n_texts"))
-        .filter(F.col("n_texts") > min_texts)
+        texts.select("host", "same", F.explode(F.array_distinct(F.col("lines.line"))).alias("line"))
+        .groupBy("host", "line").agg(F.count_distinct("same").alias("n_texts"))
+        .filter(F.col("n_texts") > min(min_texts, max_texts))
         .join(limits, "host").filter("n_texts > limit").select("host", "line")
     )
     lost = lines.join(frequent, ["host", "line"]).groupBy("host", "content").agg(F.sum("words").alias("n_removed_words"), F.collect_set("line").alias("removed_lines"))
     lost = stored(lost)
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     return (
-        seen.drop("lines").join(lost, ["host", "content"], "left")
+        seen.drop("lines", "same").join(lost, ["host", "content"], "left")
         .withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)))
         .withColumn("base_failed", base)
         .withColumn("kept", ~F.col("base_failed") & (F.col("n_removed_words") <= F.lit(max_lost) * F.col("n_words")))

@@ -114,8 +114,9 @@ l AS (SELECT doc_id, source, text, unnest(string_split(coalesce(text, ''), chr(1
 f AS (SELECT doc_id, source, text, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
   array_to_string(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' ') AS flat FROM l),
 g AS (SELECT * FROM f WHERE n > 0),
-lim AS (SELECT source, greatest(10.0, count(DISTINCT coalesce(text, chr(0))) * 0.02) AS most FROM d GROUP BY source),
-freq AS (SELECT source, flat, count(DISTINCT text) AS k FROM g GROUP BY ALL),
+nt AS (SELECT doc_id, source, text, array_to_string(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' ') AS same FROM d),
+lim AS (SELECT source, least(greatest(10.0, count(DISTINCT same) * 0.02), 10000.0) AS most FROM nt GROUP BY source),
+freq AS (SELECT g.source, flat, count(DISTINCT same) AS k FROM g JOIN nt USING (doc_id) GROUP BY ALL),
 hot AS (SELECT freq.source, flat FROM freq JOIN lim ON freq.source IS NOT DISTINCT FROM lim.source WHERE k > 10 AND k > most),
 gone AS (SELECT g.doc_id, sum(g.n) AS n FROM g JOIN hot ON g.source IS NOT DISTINCT FROM hot.source AND g.flat = hot.flat GROUP BY g.doc_id),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM g GROUP BY doc_id),

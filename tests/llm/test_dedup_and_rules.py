@@ -67,6 +67,23 @@ def test_quality_rules(which, request):
     assert sorted(got, key=key) == sorted(rules(rows, 2, 0.1), key=key)
 
 
+def test_texts_that_differ_in_white_space_or_case_count_once(spark):
+    """Twelve copies of one text, spelled apart, do not make its lines frequent."""
+    own = " ".join(f"w{k}" for k in range(60))
+    rows = [(i, own.replace(" ", " " * (i + 1)) + "\nEnd here", "h") for i in range(6)] + [(6 + i, own.upper() + "\n" * (i + 1) + "end here", "h") for i in range(6)]
+    got = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string"), min_texts=2).collect()
+    assert [(r.n_removed_words, r.kept) for r in got] == [(0, True)] * 12
+
+
+def test_a_line_above_the_absolute_limit_goes_whatever_its_share(spark):
+    own = lambda i: " ".join(f"own{i}x{k}" for k in range(60))
+    rows = [(i, own(i) + ("\nfooter line" if i < 8 else ""), "h") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for most, lost in ((7, 2), (8, 0)):
+        got = {r.doc_id: r.n_removed_words for r in quality_rules.quality_rules(df, min_texts=2, max_share=0.5, max_texts=most).collect()}
+        assert got == {i: lost if i < 8 else 0 for i in range(40)}
+
+
 def test_cleaned_removes_frequent_lines_and_depleted_documents(spark):
     own = lambda i: " ".join(f"own{i}x{k}" for k in range(60))
     rows = [(i, f"{own(i)}\nFooter  line HERE\n", "h", 0) for i in range(20)]
