@@ -222,9 +222,11 @@ def pack(items: DataFrame, *, length: str = "length", carried: tuple[str, ...] =
     """
     items = items.drop("sequence_id", "offset")
     own = [c for c in items.columns if c not in carried] or [length]
-    n_, buckets, bucket, base_, rank_, at_ = fresh(items.columns, "n_", "buckets", "bucket_", "base_", "rank_", "at_")
+    names = items.columns
+    n_, buckets, bucket, base_, rank_, at_, salt = fresh(names, "n_", "buckets", "bucket_", "base_", "rank_", "at_", "salt_")
     spark = items.sparkSession
-    items = stored(items)
+    # written once: what a bucket follows from is written with it, so that reading it again gives the same
+    items = stored(items.withColumn(salt, F.floor(F.rand(42) * 1024).cast("short")))
     histogram = {int(r[0]): int(r[1]) for r in items.groupBy(length).count().collect()}
     runs, _ = plan(histogram, capacity, groups=groups)
     keys = (runs[:, 0] << 44) | runs[:, 1]
@@ -235,13 +237,12 @@ def pack(items: DataFrame, *, length: str = "length", carried: tuple[str, ...] =
         return pd.DataFrame({"sequence_id": runs[at, 3] + rank.to_numpy() - runs[at, 1], "offset": runs[at, 4]})
 
     sizes = spark.createDataFrame([(n, max(1, -(-c // per_bucket))) for n, c in histogram.items()], f"{n_} long, {buckets} int")
-    spread = items.join(F.broadcast(sizes), items[length] == F.col(n_)).withColumn(bucket, F.pmod(F.xxhash64(*own, F.floor(F.rand(42) * 1024)), buckets).cast("int")).drop(buckets)
-    spread = stored(spread)
+    spread = items.join(F.broadcast(sizes), items[length] == F.col(n_)).withColumn(bucket, F.pmod(F.xxhash64(*own, salt), buckets).cast("int")).drop(buckets, salt)
     before = Window.partitionBy(n_).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     base = spread.groupBy(n_, bucket).agg(F.count("*").alias(base_)).withColumn(base_, F.coalesce(F.sum(base_).over(before), F.lit(0)))
     inside = Window.partitionBy(n_, bucket).orderBy(*own)
     ranked = spread.join(base, [n_, bucket]).withColumn(rank_, F.col(base_) + F.row_number().over(inside) - 1)
-    return ranked.withColumn(at_, place(n_, rank_)).select(*items.columns, F.col(at_)["sequence_id"].alias("sequence_id"), F.col(at_)["offset"].alias("offset"))
+    return ranked.withColumn(at_, place(n_, rank_)).select(*names, F.col(at_)["sequence_id"].alias("sequence_id"), F.col(at_)["offset"].alias("offset"))
 
 
 def sequences(packed: DataFrame) -> DataFrame:
