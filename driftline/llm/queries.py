@@ -87,6 +87,20 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(_table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_codes import encoded, trained, with_label_error
+
+    codes = trained(_table(spark, sf_dir, "embeddings"))
+    two = F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0")))
+    return with_label_error(encoded(codes)).select("vec_id", F.array_join(two, "").alias("code"), "error", "label_error", F.lit(codes.sha256()).alias("codebooks_sha256"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import divergence
+
+    return divergence(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -100,9 +114,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_exact_dedup,
         op9_token_counts,
         op10_lm_scoring,
+        op11_vector_codes,
+        op13_divergence,
     )
 }
 
+
+
+def _codes_sql(rounds: int = 6) -> str:
+    """op11 round by round: each assignment and each new codebook is a table."""
+    far = "list_sum([(p.x[i] - c.x[i]) * (p.x[i] - c.x[i]) for i in range(1, len(p.x) + 1)])"
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"a{k} AS MATERIALIZED (SELECT p.row, p.part, min({far}::BIGINT * 16 + c.entry) AS best FROM p JOIN c{k} c USING (part) GROUP BY ALL)")
+        if k < rounds:
+            steps += [
+                f"s{k} AS (SELECT part, best % 16 AS entry, i, sum(x[i]) AS s, count(*) AS n FROM a{k} JOIN p USING (row, part), (SELECT unnest(range(1, 1 + (SELECT max(len(x)) FROM p))) AS i) GROUP BY ALL)",
+                f"m{k} AS (SELECT part, entry, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS x FROM s{k} GROUP BY ALL)",
+                f"c{k + 1} AS MATERIALIZED (SELECT c.part, c.entry, coalesce(m.x, c.x) AS x FROM c{k} c LEFT JOIN m{k} m USING (part, entry))",
+            ]
+    return f"""
+WITH v AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) AS row, vec_id, label, [floor(4096 * e::DOUBLE)::BIGINT for e in embedding] AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len([e for e in embedding if e IS NULL OR NOT isfinite(e)]) = 0),
+p AS MATERIALIZED (SELECT row, vec_id, label, part, x[part * (len(x) // 8) + 1 : (part + 1) * (len(x) // 8)] AS x FROM v, (SELECT unnest(range(8)) AS part)),
+c0 AS MATERIALIZED (SELECT part, row - 1 AS entry, x FROM p WHERE row <= 16),
+{", ".join(steps)},
+h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS d FROM c{rounds}),
+o AS (SELECT row, string_agg(printf('%02x', best % 16), '' ORDER BY part) AS code, sum(best // 16)::BIGINT AS error FROM a{rounds} GROUP BY row)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, h.d AS codebooks_sha256 FROM v JOIN o USING (row), h"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": r"""
 WITH d AS (SELECT doc_id, source, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -143,4 +184,20 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
     "op8_exact_dedup": r"""
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS flat FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY flat) AS keep_id, count(*) OVER (PARTITION BY flat) AS group_size, doc_id = min(doc_id) OVER (PARTITION BY flat) AS kept, sha256(flat) AS text_sha256 FROM d""",
+    "op11_vector_codes": _codes_sql(),
+    "op13_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+w AS (SELECT row, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS MATERIALIZED (SELECT lang, term, count(*) AS total FROM w GROUP BY lang, term HAVING count(DISTINCT row) >= 10),
+cnt AS MATERIALIZED (SELECT lang, source, term, count(*) AS c FROM w JOIN kept USING (lang, term) GROUP BY ALL),
+l AS (SELECT lang, count(*) AS v, sum(total)::BIGINT AS n FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+gn AS (SELECT g.lang, g.source, coalesce(sum(c), 0)::BIGINT AS n FROM g LEFT JOIN cnt USING (lang, source) GROUP BY ALL),
+p AS MATERIALIZED (SELECT gn.lang, gn.source, kept.term, coalesce(cnt.c, 0) AS c, (1 + (1000000000 * (coalesce(cnt.c, 0) + 2)) // (gn.n + 2 * l.v))::BIGINT AS p, (1 + (1000000000 * (kept.total + 2)) // (l.n + 2 * l.v))::BIGINT AS q
+  FROM gn JOIN l USING (lang) JOIN kept USING (lang) LEFT JOIN cnt ON cnt.lang = gn.lang AND cnt.source = gn.source AND cnt.term = kept.term),
+pv AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p))::BIGINT AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pv.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pv ON pv.lang = a.lang AND pv.source = a.source AND pv.item = b.source),
+term AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value FROM p WHERE c > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM (FROM pair UNION ALL FROM term))
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 10""",
 }
