@@ -95,6 +95,12 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_label_error(encoded(codes)).select("vec_id", F.array_join(two, "").alias("code"), "error", "label_error", F.lit(codes.sha256()).alias("codebooks_sha256"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import deduplicated
+
+    return deduplicated(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .divergence import divergence
 
@@ -115,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_token_counts,
         op10_lm_scoring,
         op11_vector_codes,
+        op12_suffix_dedup,
         op13_divergence,
     )
 }
@@ -185,6 +192,17 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS flat FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY flat) AS keep_id, count(*) OVER (PARTITION BY flat) AS group_size, doc_id = min(doc_id) OVER (PARTITION BY flat) AS kept, sha256(flat) AS text_sha256 FROM d""",
     "op11_vector_codes": _codes_sql(),
+    "op12_suffix_dedup": r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id NULLS LAST) AS row, doc_id, hex(encode(coalesce(text, ''))) AS hx, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+-- texts in pieces of 1,000 bytes and the 99 after them, so that no string is cut out of a long one
+b AS MATERIALIZED (SELECT row, pos, hx[2 * pos + 1 : 2 * pos + 2198] AS piece FROM (SELECT row, hx, unnest(range(0, n, 1000)) AS pos FROM d)),
+s AS (SELECT row, pos + i AS start, piece[2 * i + 1 : 2 * i + 200] AS w FROM (SELECT row, pos, piece, unnest(range(0, least(1000, length(piece) // 2 - 99))) AS i FROM b)),
+m AS (SELECT row, start FROM s QUALIFY row_number() OVER (PARTITION BY md5_number(w) ORDER BY row, start) > 1),
+g AS (SELECT row, start, start - coalesce(lag(start) OVER (PARTITION BY row ORDER BY start), -1000) > 100 AS fresh FROM m),
+r AS (SELECT row, min(start) AS a, max(start) + 100 AS z FROM (SELECT row, start, sum(fresh::INT) OVER (PARTITION BY row ORDER BY start) AS k FROM g) GROUP BY row, k),
+c AS (SELECT row, sum(z - a)::BIGINT AS gone, count(*) AS spans, list(a ORDER BY a) AS starts, list(z ORDER BY a) AS ends FROM r GROUP BY row)
+SELECT doc_id, n AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN gone IS NULL THEN hx ELSE array_to_string([hx[2 * p[1] + 1 : 2 * p[2]] FOR p IN list_zip([0] || ends, starts || [n])], '') END)) AS kept_sha256 FROM d LEFT JOIN c USING (row)""",
     "op13_divergence": r"""
 WITH d AS (SELECT row_number() OVER () AS row, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
 w AS (SELECT row, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
