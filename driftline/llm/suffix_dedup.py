@@ -9,7 +9,8 @@ equal strings belong to anchors of one hash. That cuts a corpus into shards that
 2. anchors whose hash occurs once are done. Of equal snippets of an anchor the first one decides,
    the starts of the others are marked; this is an aggregate that Spark combines before its shuffle, so a
    passage that a third of all documents share is one row from each task;
-3. the different snippets of an anchor meet in a shard. A shard's suffix array is built by induced sorting (suffixes
+3. the different snippets of an anchor meet in a shard. Those that share the bytes on neither side of their gram with another
+   are done. Of the rest a suffix array is built by induced sorting (suffixes
    classified, leftmost smaller substrings sorted by recursion, the rest induced in two linear scans), its permuted
    common prefixes show which neighbours share ``window`` bytes, and of each such run all starts but the earliest are marked;
 4. an anchor with more than ``most`` different snippets (a passage whose edges differ in every document) is dealt to several shards.
@@ -51,17 +52,16 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out)
 
 
-def anchors(raw: np.ndarray, off: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Text, first start, number of starts, anchor hash and snippet hash of each anchor, in order."""
+def anchors(raw: np.ndarray, off: np.ndarray, window: int, gram: int, places: bool = False) -> tuple[np.ndarray, ...]:
+    """Text, first start, number of starts, anchor hash and snippet hash of each anchor, in order; and its place, if wanted."""
     none = np.zeros(0, np.int64)
-    out = [(none, none, none, none.view(np.uint64), none.view(np.uint64))]
+    out = [(none, none, none, none.view(np.uint64), none.view(np.uint64), none)]
     for at in range(0, max(1, len(raw) - window + 1), PIECE):
         part = raw[at : at + PIECE + window - 1]
         n = len(part) - window + 1
         if n > 0:
-            doc, start, count, anchor, snip = _piece(part, np.clip(off - at, 0, len(part)), n, window, gram, off[:-1] - at)
-            out.append((doc, start, count, anchor, snip))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+            out.append(_piece(part, np.clip(off - at, 0, len(part)), n, window, gram, off[:-1] - at))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))[: 6 if places else 5]
 
 
 def _piece(raw: np.ndarray, off: np.ndarray, n: int, window: int, gram: int, begins: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -94,7 +94,7 @@ def _piece(raw: np.ndarray, off: np.ndarray, n: int, window: int, gram: int, beg
         anchor = hashed(place[first], place[first] + gram)
         snip = mixed(hashed(first, first + count - 1 + window) + count.astype(np.uint64))
     doc = np.searchsorted(off, first, side="right") - 1
-    return doc, first - begins[doc], count, anchor, snip
+    return doc, first - begins[doc], count, anchor, snip, place[first] - begins[doc]
 
 
 def _found(window: int, gram: int):  # noqa: ANN202
@@ -114,6 +114,14 @@ def _gathered(raw: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.nda
     return raw[np.arange(ends[-1]) + np.repeat(at - ends[:-1], size)], ends
 
 
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column in a row, and their n + 1 offsets."""
+    col = column.combine_chunks()
+    col = col.chunk(0) if isinstance(col, pa.ChunkedArray) else col
+    ends = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
+    return np.frombuffer(col.buffers()[2], np.uint8)[ends[0] : ends[-1]], ends - ends[0]
+
+
 def _snippets(window: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "text"):
@@ -131,18 +139,39 @@ def _snippets(window: int):  # noqa: ANN202
     return run
 
 
-def _shards(window: int, size: int):  # noqa: ANN202
+def _likely(raw: np.ndarray, ends: np.ndarray, anchor: np.ndarray, window: int, gram: int) -> np.ndarray:
+    """Which snippets can share a string with another of their anchor.
+
+    A string has at least ``half`` bytes on one side of its gram, so what shares it has the same bytes there.
+    """
+    n, half = len(ends) - 1, -(-(window - gram) // 2)
+    doc, start, count, _, _, place = anchors(raw, ends, window, gram, places=True)
+    # pieces of a snippet that was cut have the same place
+    _, at = np.unique(doc, return_index=True)
+    place = ends[:-1] + place[at]
+    out = np.zeros(n, bool)
+    for a, b in ((place - half, place + gram), (place, place + gram + half)):
+        inside = np.flatnonzero((a >= ends[:-1]) & (b <= ends[1:]))
+        key = np.stack([anchor[inside].view(np.uint64), xxh64(raw, a[inside], b[inside])])
+        _, which, times = np.unique(key, axis=1, return_inverse=True, return_counts=True)
+        out[inside[times[which.ravel()] > 1]] = True
+    return out
+
+
+def _shards(window: int, gram: int, size: int):  # noqa: ANN202
     """Marks of the snippets that a task gets, ordered by anchor and salt; ``size`` bytes to a suffix array, whole anchors each."""
 
     def shard(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        flat, ends = _flat(t["bytes"])
+        likely = _likely(flat, ends, t["anchor"].to_numpy(), window, gram) | t["split"].to_numpy()
+        if likely.any():
+            yield from sorted_shard(t.filter(pa.array(likely)))
+
+    def sorted_shard(t: pa.Table) -> Iterator[pa.RecordBatch]:
         n = t.num_rows
-        col = t["bytes"].combine_chunks()
-        col = col.chunk(0) if isinstance(col, pa.ChunkedArray) else col
-        ends = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + n + 1].astype(np.int64)
-        data = np.frombuffer(col.buffers()[2], np.uint8)
+        flat, ends = _flat(t["bytes"])
         width = np.diff(ends)
         # each snippet, then a separator that is less than any byte; at last the end that is less than that
-        flat, _ = _gathered(data, ends[:-1], width)
         at = np.r_[0, np.cumsum(width + 1)]
         raw, symbols = np.zeros(at[-1] + 1, np.uint8), np.ones(at[-1] + 1, np.int64)
         symbols[-1] = 0
@@ -254,7 +283,7 @@ def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     firsts = stored(seen.groupBy("anchor", "snip").agg(F.min(F.struct(place.alias("at"), "count")).alias("f"), F.count("*").alias("n")))
     again = firsts.filter("n > 1").select("anchor", "snip", F.col("f.at").alias("at"))
     marks = seen.join(again, ["anchor", "snip"]).filter(place != F.col("at")).select("doc_id", "h", "start", "count")
-    marks = marks.union(_different(given, found, firsts, key, window, most, shard_bytes, broadcast_rows))
+    marks = marks.union(_different(given, found, firsts, key, window, gram, most, shard_bytes, broadcast_rows))
     marks = stored(marks.distinct())
     held = marks.groupBy(F.col("doc_id").alias("k_id"), F.col("h").alias("k_h")).agg(F.collect_list(F.struct("start", "count")).alias("marks"))
     held = stored(held)
@@ -281,7 +310,7 @@ def _repeated(found: DataFrame) -> DataFrame:
     return stored(found.groupBy(F.col("doc_id").alias("k_id"), F.col("h").alias("k_h")).agg(F.count("*").alias("n")).filter("n > 1"))
 
 
-def _different(given: DataFrame, found: DataFrame, firsts: DataFrame, key: str, window: int, most: int, shard_bytes: int, broadcast_rows: int) -> DataFrame:
+def _different(given: DataFrame, found: DataFrame, firsts: DataFrame, key: str, window: int, gram: int, most: int, shard_bytes: int, broadcast_rows: int) -> DataFrame:
     """doc_id, h, start and count of starts that another snippet of their anchor has earlier."""
     several = stored(firsts.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1"))
     fresh = firsts.select("anchor", "snip", "f.at.*", "f.count").join(_small(several, broadcast_rows), "anchor")
@@ -296,7 +325,7 @@ def _different(given: DataFrame, found: DataFrame, firsts: DataFrame, key: str,
     cut = texts.mapInArrow(_snippets(window), f"anchor long, salt long, doc_id {key}, h long, start long, count long, bytes binary")
     cut = cut.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt")
     shape = f"doc_id {key}, h long, start long, count long, w1 long, w2 long"
-    out = stored(cut.select("anchor", "salt", "doc_id", "h", "start", "count", "bytes", (F.col("salt") < 0).alias("split")).mapInArrow(_shards(window, shard_bytes), shape))
+    out = stored(cut.select("anchor", "salt", "doc_id", "h", "start", "count", "bytes", (F.col("salt") < 0).alias("split")).mapInArrow(_shards(window, gram, shard_bytes), shape))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "start")
     strings = out.filter("w1 IS NOT NULL")
     earliest = strings.groupBy("w1", "w2").agg(F.min(place).alias("at"), F.count("*").alias("n")).filter("n > 1")
