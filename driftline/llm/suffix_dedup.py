@@ -108,6 +108,11 @@ def _found(window: int, gram: int):  # noqa: ANN202
     return run
 
 
+def _run(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First start and number of starts of runs that travel as one number."""
+    return packed >> 16, packed & 65535
+
+
 def _gathered(raw: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of many slices in a row, and their n + 1 offsets."""
     ends = np.r_[0, np.cumsum(size)]
@@ -128,7 +133,8 @@ def _snippets(window: int):  # noqa: ANN202
             raw, off = utf8(b.column(2))
             want = b.column(3)
             doc = np.repeat(np.arange(b.num_rows), np.diff(want.offsets.to_numpy()))
-            anchor, salt, start, count = (f.to_numpy() for f in want.flatten().flatten())
+            anchor, salt, run = (f.to_numpy() for f in want.flatten().flatten())
+            start, count = _run(run)
             for at in range(0, len(doc), 1 << 14):
                 own = slice(at, at + (1 << 14))
                 flat, ends = _gathered(raw, off[doc[own]] + start[own], count[own] + window - 1)
@@ -242,7 +248,7 @@ def _cut(window: int):  # noqa: ANN202
             raw, off = utf8(b.column(2))
             marks = b.column(3)
             doc = np.repeat(np.arange(b.num_rows), np.diff(marks.offsets.to_numpy()))
-            start, count = (f.to_numpy() for f in marks.flatten().flatten())
+            start, count = _run(marks.flatten().to_numpy())
             edge = np.zeros(len(raw) + 1, np.int64)
             np.add.at(edge, off[doc] + start, 1)
             np.add.at(edge, off[doc] + start + count - 1 + window, -1)
@@ -269,31 +275,33 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = 100, gram: int = 24, most: int = 2_000, shard_bytes: int = 1 << 18, broadcast_rows: int = 500_000) -> DataFrame:
+def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = 100, gram: int = 24, most: int = 2_000, shard_bytes: int = 1 << 18, broadcast_rows: int = 100_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the bytes that are left) of every row of ``docs``."""
     key = dict(docs.dtypes)[doc_id]
     given = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"), F.coalesce(text, F.lit("")).alias("text"))
     given = text_batches(given)
     found = stored(given.mapInArrow(_found(window, gram), f"doc_id {key}, h long, anchors array<struct<anchor:long,snip:long,start:long,count:long>>"))
     often = stored(found.select(F.explode("anchors.anchor").alias("anchor")).groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"))
-    rows = found.select("doc_id", "h", F.explode("anchors").alias("a")).select("doc_id", "h", "a.*")
+    # a run of starts travels as one number
+    rows = found.select("doc_id", "h", F.explode("anchors").alias("a")).select("doc_id", "h", "a.anchor", "a.snip", (F.shiftleft("a.start", 16) + F.col("a.count")).alias("run"))
     # each step is written first, so that the join after it stands alone in its stage and Spark can split a hot key's rows
     seen = stored(rows.join(_small(often, broadcast_rows), "anchor"))
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "start")
-    firsts = stored(seen.groupBy("anchor", "snip").agg(F.min(F.struct(place.alias("at"), "count")).alias("f"), F.count("*").alias("n")))
-    again = firsts.filter("n > 1").select("anchor", "snip", F.col("f.at").alias("at"))
-    marks = seen.join(again, ["anchor", "snip"]).filter(place != F.col("at")).select("doc_id", "h", "start", "count")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "run")
+    firsts = stored(seen.groupBy("anchor", "snip").agg(F.min(place).alias("at"), F.count("*").alias("n")))
+    again = firsts.filter("n > 1").select("anchor", "snip", "at")
+    marks = seen.join(again, ["anchor", "snip"]).filter(place != F.col("at")).select("doc_id", "h", "run")
     marks = marks.union(_different(given, found, firsts, key, window, gram, most, shard_bytes, broadcast_rows))
-    marks = stored(marks.distinct())
-    held = marks.groupBy(F.col("doc_id").alias("k_id"), F.col("h").alias("k_h")).agg(F.collect_list(F.struct("start", "count")).alias("marks"))
-    held = stored(held)
+    twice = _repeated(found)
+    repeats = bool(twice.limit(1).count())
+    # only rows that repeat id and text are marked more than once
+    marks = marks.distinct() if repeats else marks
+    held = stored(marks.groupBy(F.col("doc_id").alias("k_id"), F.col("h").alias("k_h")).agg(F.collect_list("run").alias("marks")))
     few = held.agg(F.sum(F.size("marks"))).first()[0] or 0
     with_marks = given.join(F.broadcast(held) if few <= broadcast_rows else held, _same(given, held), "left")
-    none = F.array().cast("array<struct<start:long,count:long>>")
+    none = F.array().cast("array<long>")
     out = with_marks.select("doc_id", "h", "text", F.coalesce("marks", none).alias("marks")).mapInArrow(_cut(window), f"doc_id {key}, h long, n_bytes long, n_removed long, n_spans long, kept binary")
     columns = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept")
-    twice = _repeated(found)
-    if not twice.limit(1).count():
+    if not repeats:
         return out.select(*columns)
     # of rows that repeat id and text the others repeat all of it
     out = stored(out)
@@ -311,13 +319,13 @@ def _repeated(found: DataFrame) -> DataFrame:
 
 
 def _different(given: DataFrame, found: DataFrame, firsts: DataFrame, key: str, window: int, gram: int, most: int, shard_bytes: int, broadcast_rows: int) -> DataFrame:
-    """doc_id, h, start and count of starts that another snippet of their anchor has earlier."""
+    """doc_id, h and run of starts that another snippet of their anchor has earlier."""
     several = stored(firsts.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1"))
-    fresh = firsts.select("anchor", "snip", "f.at.*", "f.count").join(_small(several, broadcast_rows), "anchor")
+    fresh = firsts.select("anchor", "snip", "at.*").join(_small(several, broadcast_rows), "anchor")
     salt = F.pmod(F.col("snip"), F.ceil(F.col("k") / most)).alias("salt")
     # a salt below 0 tells that the anchor is split
-    fresh = stored(fresh.select("anchor", salt, (F.col("k") > most).alias("split"), "doc_id", "h", "start", "count"))
-    want = fresh.groupBy(F.col("doc_id").alias("k_id"), F.col("h").alias("k_h")).agg(F.collect_list(F.struct("anchor", F.when(F.col("split"), -1 - F.col("salt")).otherwise(F.col("salt")).alias("salt"), "start", "count")).alias("want"))
+    fresh = stored(fresh.select("anchor", salt, (F.col("k") > most).alias("split"), "doc_id", "h", "run"))
+    want = fresh.groupBy(F.col("doc_id").alias("k_id"), F.col("h").alias("k_h")).agg(F.collect_list(F.struct("anchor", F.when(F.col("split"), -1 - F.col("salt")).otherwise(F.col("salt")).alias("salt"), "run")).alias("want"))
     want = stored(want)
     few = want.agg(F.sum(F.size("want"))).first()[0] or 0
     texts = given.distinct() if _repeated(found).limit(1).count() else given
@@ -330,4 +338,4 @@ def _different(given: DataFrame, found: DataFrame, firsts: DataFrame, key: str,
     strings = out.filter("w1 IS NOT NULL")
     earliest = strings.groupBy("w1", "w2").agg(F.min(place).alias("at"), F.count("*").alias("n")).filter("n > 1")
     later = strings.join(earliest, ["w1", "w2"]).filter(place != F.col("at")).select("doc_id", "h", "start", "count")
-    return out.filter("w1 IS NULL").select("doc_id", "h", "start", "count").union(later)
+    return out.filter("w1 IS NULL").select("doc_id", "h", "start", "count").union(later).select("doc_id", "h", (F.shiftleft("start", 16) + F.col("count")).alias("run"))
