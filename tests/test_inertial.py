@@ -281,3 +281,24 @@ def test_propagation_alone_of_a_resting_device_stays(spark):
     df = spark.createDataFrame([(None, *r) for r in rows], "session int, t double, kind string, z array<double>, r array<double>")
     last = max(inertial.navigated(df, "session", covariance=False, samples=True).collect(), key=lambda r: r.t)
     assert last.session is None and abs(last.px) + abs(last.py) < 1e-6 and abs(last.pz) < 1e-2 and math.isclose(last.qw, 1.0, abs_tol=1e-12)
+
+
+def test_the_queries_rows_equal_one_session_at_a_time(spark, sf):
+    """The derived drives move every output, and the filter stays near their way."""
+    from driftline.plans import inertial as plan
+
+    rows = plan.rows(spark, sf).filter("user_id < 4").collect()
+    way = {(r.user_id, round(r.t, 3)): (r.east, r.north) for r in plan.motion(spark, sf).filter("user_id < 4").collect()}
+    got = {}
+    for r in inertial.navigated(spark.createDataFrame(rows, "user_id long, t double, kind string, z array<double>, r array<double>"), "user_id").collect():
+        got[r.user_id, round(r.t, 3), r.kind] = r
+    off = []
+    for user in sorted({r.user_id for r in rows}):
+        one = One(inertial.Arm())
+        for t, kind, z, zr in ordered([(r.t, r.kind, r.z, r.r) for r in rows if r.user_id == user]):
+            outcome, _ = one.row(t, kind, z, zr)
+            if kind != "sample":
+                r = got[user, round(t, 3), kind]
+                assert r.outcome == outcome and np.allclose([r.px, r.py, r.vx, r.qz, r.baz], [one.p[0], one.p[1], one.v[0], one.q[3], one.c[2]], rtol=1e-6, atol=1e-7)
+        off.append(math.hypot(one.p[0] - way[user, round(t, 3)][0], one.p[1] - way[user, round(t, 3)][1]))
+    assert max(off) < 15 and len(off) == 4
