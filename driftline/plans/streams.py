@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.sources.tables import HOUR_US, events, masks
-from driftline.streaming import live
+from driftline.streaming import intake, live
 
 from . import query
 
@@ -58,3 +58,21 @@ def stream_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last sample of each six hours; draining flushes the slots that no watermark has passed."""
     out = live.drained(live.throttled(live.read_events(spark, sf_dir), "6 hours", "1 hour"), "complete")
     return out.select("session", F.unix_micros("start").alias("start_us"), "event_id", "value", "n")
+
+
+@query("""
+, c AS (SELECT ev.*, unnest(CASE WHEN event_id % 10 = 0 THEN [0, 1] ELSE [0] END) AS again FROM ev),
+x AS (SELECT user_id AS session, CASE WHEN again = 1 THEN 'relay' ELSE event_type END AS channel, event_id, t_us, again, t_us + (event_id * 37) % 50 * 60000000 AS received, CASE WHEN event_id % 23 > 0 THEN value END AS value,
+  t_us + (event_id * 37) % 50 * 60000000 + CASE WHEN again = 1 THEN 7200000000 ELSE (event_id * 13) % 90 * 60000000 - 60000000 END AS offered FROM c),
+y AS (SELECT *, CASE WHEN value IS NULL OR t_us < 1704067200000000 + 21600000000 THEN 'INVALID' WHEN t_us < 1704067200000000 + 86400000000 THEN 'LATE' END AS early FROM x),
+-- ids are unique but for relayed copies, which come last: floors of the originals first
+o AS (SELECT *, max(t_us) FILTER (early IS NULL) OVER (PARTITION BY session, channel ORDER BY offered, event_id, t_us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM y WHERE again = 0),
+p AS (SELECT *, CASE WHEN early IS NOT NULL THEN early WHEN t_us <= newest THEN 'DUPLICATE' WHEN received > offered OR offered - received > 3600000000 THEN 'LATE' ELSE 'ACCEPTED' END AS code, early IS NULL AND coalesce(t_us > newest, true) AS had FROM o),
+-- a copy stands for a record that was not had; the others are repeats
+r AS (SELECT y.*, p.had FROM y JOIN p USING (event_id) WHERE y.again = 1),
+q AS (SELECT *, max(t_us) FILTER (early IS NULL AND NOT had) OVER (PARTITION BY session ORDER BY offered, event_id, t_us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM r)
+SELECT session, channel, event_id, t_us, code FROM p
+UNION ALL SELECT session, channel, event_id, t_us, CASE WHEN early IS NOT NULL THEN early WHEN had OR t_us <= newest THEN 'DUPLICATE' WHEN offered - received > 3600000000 THEN 'LATE' ELSE 'ACCEPTED' END FROM q""")
+def stream_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record of the live intake with the code that it gets from both clocks, its channel's newest record and the ids before it."""
+    return live.drained(intake.admitted(intake.two_clocks(live.read_events(spark, sf_dir)), most_lag_us=HOUR_US))
