@@ -65,6 +65,34 @@ def record_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("session_id", "event_id", "type", "t_ns", "gnss", F.array_join("codes", ";").alias("codes"))
 
 
+#: What each seventh of the lines has wrong, and how a line gets it.
+DEFECTS = (
+    ("", None, None),
+    ("TYPES", r'"t_ns":"(\d+)"', '"t_ns":$1'),
+    ("TIME", r'"t_ns":"(\d+)"', '"t_ns":"-$1"'),
+    ("TYPES", r'"session_id":"s(\d+)"', '"session_id":$1'),
+    ("TIME", r'"received_ns":"(\d+)"', '"received_ns":"9$1"'),
+    ("TYPES", r'"longitude_deg":([0-9.]+)', '"longitude_deg":"$1"'),
+    ("TYPES", '"satellites_used":null', '"satellites_used":7.0'),
+)
+
+
+@query("""
+, x AS (SELECT *, event_id % 7 AS k FROM ev)
+SELECT event_id, CASE WHEN k IN (1, 3, 5, 6) THEN 'TYPES' WHEN k IN (2, 4) THEN 'TIME' ELSE '' END || CASE WHEN event_type = 'error' OR k = 5 THEN CASE WHEN k = 0 THEN 'VALUES' ELSE ';VALUES' END ELSE '' END AS codes FROM x""")
+def record_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with a wrong JSON type, a negative time or one beyond 64 bits, and the codes that they get."""
+    recs = as_records(events(spark, sf_dir))
+    lines = records.encoded(recs)
+    k = F.get_json_object("value", "$.event.event_id").cast("long")
+    value = F.col("value")
+    for n, (_, was, now) in enumerate(DEFECTS):
+        if was:
+            value = F.when(k % len(DEFECTS) == n, F.regexp_replace("value", was, now)).otherwise(value)
+    back = records.decoded(lines.select(value.alias("value")))
+    return back.select("event_id", F.array_join("codes", ";").alias("codes"))
+
+
 def as_records(ev: DataFrame) -> DataFrame:
     """Events as GNSS records: the errors have a bearing out of range."""
     fields = {n: F.lit(None).cast(t) for n, (t, _) in records.PAYLOADS["gnss"].items()}

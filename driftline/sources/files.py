@@ -11,21 +11,27 @@ from driftline.functions.scalars import header_key
 ENCODINGS = ("UTF-8", "windows-1252", "ISO-8859-1")
 
 
-def sniffed_encoding(spark: SparkSession, path: str, prefix: int = 20_000) -> str:
-    """The first encoding that the start of a file's bytes decodes with.
+#: Bytes that windows-1252 leaves undefined: fixed values.
+UNDEFINED = "\x81\x8d\x8f\x90\x9d"
 
-    One row of at most ``prefix`` bytes comes to the driver.
-    """
-    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, prefix).alias("b")).first()
-    raw = bytes(head["b"]) if head else b""
-    for name in ENCODINGS:
-        try:
-            # a character that the prefix cuts is no error
-            raw.decode(name) if len(raw) < prefix else raw[:-4].decode(name)
-        except UnicodeDecodeError:
-            continue
-        return name
-    return ENCODINGS[-1]
+
+def _byte_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines as text that may not be UTF-8 (raw), and with a character for each byte (value)."""
+    return spark.read.option("lineSep", "\n").text(path).select(F.col("value").alias("raw"), F.decode(F.col("value").cast("binary"), "ISO-8859-1").alias("value"))
+
+
+def sniffed_encoding(spark: SparkSession, path: str) -> str:
+    """The first encoding that every line of all files decodes with, counted in the executors."""
+    odd = F.translate("value", UNDEFINED, "") != F.col("value")
+    n = _byte_lines(spark, path).agg(F.count_if(~F.is_valid_utf8("raw")).alias("not_utf8"), F.count_if(odd).alias("not_western")).first()
+    return ENCODINGS[0] if not n.not_utf8 else ENCODINGS[1] if not n.not_western else ENCODINGS[2]
+
+
+def undecoded(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """file and value (its bytes as characters) of the lines that ``encoding`` does not decode."""
+    lines = _byte_lines(spark, path).select(F.input_file_name().alias("file"), "raw", "value")
+    wrong = {"UTF-8": ~F.is_valid_utf8("raw"), "windows-1252": F.translate("value", UNDEFINED, "") != F.col("value")}
+    return lines.filter(wrong.get(encoding, F.lit(False))).drop("raw")
 
 
 def _western(df: DataFrame) -> DataFrame:
@@ -38,7 +44,8 @@ def _western(df: DataFrame) -> DataFrame:
 def read_csv(spark: SparkSession, path: str, names: dict[str, str], *, encoding: str | None = None) -> DataFrame:
     """A CSV with headers mapped to names; unknown, missing and repeated ones are errors.
 
-    ``names`` maps header texts (white space and case do not matter) to column names.
+    ``names`` maps header texts (white space and case do not matter) to column names. Without an ``encoding`` all
+    lines are looked at to find one; with one that does not fit, :func:`undecoded` has the lines.
     """
     encoding = encoding or sniffed_encoding(spark, path)
     west = encoding == "windows-1252"  # not among Spark's character sets

@@ -44,34 +44,66 @@ def _keys(doc: Column, expected: tuple[str, ...]) -> Column:
     return (F.size(k) == len(expected)) & (F.size(F.array_except(k, F.array(*map(F.lit, expected)))) == 0)
 
 
+#: JSON types that a rule takes, as VARIANT names them: a number is no string, 1.0 is no integer, and what is beyond 64 bits is a decimal.
+JSON_TYPES = {
+    "str": "STRING", "code": "STRING", "int": "BIGINT", "bool": "BOOLEAN", "vec": r"ARRAY<(BIGINT|DOUBLE|DECIMAL\(\d+,\d+\))>", "quat": r"ARRAY<(BIGINT|DOUBLE|DECIMAL\(\d+,\d+\))>", "codes": "ARRAY<(STRING|VOID)>",
+    "num": r"BIGINT|DOUBLE|DECIMAL\(\d+,\d+\)",
+}
+
+#: A whole number from 0 that 64 bits hold, as a string.
+DECIMAL = "^(0|[1-9][0-9]{0,18})$"
+
+
+def _typed(path: str, rule: str) -> Column:
+    """Whether the value at a path of the VARIANT column ``_v`` has a JSON type that the rule takes."""
+    kind = F.schema_of_variant(F.try_variant_get("_v", path, "variant"))
+    ok = kind.rlike(f"^({JSON_TYPES.get(rule.rstrip('?'), JSON_TYPES['num'])})$")
+    return F.coalesce(ok | (kind == "VOID") if rule.endswith("?") else ok, F.lit(False))
+
+
+def _types_hold() -> Column:
+    """Every value of the envelope, the event and the payload has its JSON type."""
+    ok = F.lit(True)
+    for path in ("$.contract_version", "$.session_id", "$.source", "$.event.event_id", "$.event.type", "$.event.t_ns", "$.event.received_ns"):
+        ok = ok & _typed(path, "str")
+    payload = F.lit(False)
+    for kind, fields in PAYLOADS.items():
+        all_hold = F.lit(True)
+        for name, (_, rule) in fields.items():
+            all_hold = all_hold & _typed(f"$.event.data.{name}", rule)
+        payload = F.when(F.col("type") == kind, all_hold).otherwise(payload)
+    return ok & payload
+
+
 def decoded(lines: DataFrame, value: str = "value") -> DataFrame:
     """Records of text lines: envelope, one struct for each payload type, and ``codes`` of what is wrong.
 
-    Keys must match exactly; 64-bit integers are decimal strings; NaN and
-    Infinity are no numbers. A wrong line stays, with its codes and its text.
+    Keys must match exactly and occur once; every value must have its JSON type; 64-bit integers
+    are decimal strings from 0; NaN and Infinity are no numbers. A wrong line stays, with its codes and its text.
     """
     line = F.col(value)
     get = lambda path: F.get_json_object(line, path)
-    long = lambda path: F.when(get(path).rlike(r"^-?(0|[1-9][0-9]*)$"), get(path).try_cast("long"))
+    long = lambda path: F.when(get(path).rlike(DECIMAL), get(path).try_cast("long"))
     rows = lines.select(
         line.alias("line"), get("$.contract_version").alias("contract_version"), get("$.session_id").alias("session_id"), get("$.source").alias("source"),
-        long("$.event.event_id").alias("event_id"), get("$.event.type").alias("type"), long("$.event.t_ns").alias("t_ns"), long("$.event.received_ns").alias("received_ns"), get("$.event.data").alias("_data"),
+        long("$.event.event_id").alias("event_id"), get("$.event.type").alias("type"), long("$.event.t_ns").alias("t_ns"), long("$.event.received_ns").alias("received_ns"), get("$.event.data").alias("_data"), F.try_parse_json(line).alias("_v"),
     )
     options = {"mode": "PERMISSIVE", "allowNonNumericNumbers": "false"}
     for kind in PAYLOADS:
         rows = rows.withColumn(kind, F.when(F.col("type") == kind, F.from_json("_data", schema(kind), options)))
     broken = {
         "SIZE": F.octet_length("line") <= MOST_BYTES,
-        "JSON": _keys(F.col("line"), ENVELOPE) & _keys(F.get_json_object("line", "$.event"), EVENT),
+        "JSON": F.col("_v").isNotNull() & _keys(F.col("line"), ENVELOPE) & _keys(F.get_json_object("line", "$.event"), EVENT),
         "VERSION": F.col("contract_version").isin(*VERSIONS),
         "HEADER": validation.rule("str", F.col("session_id")) & validation.rule("str", F.col("source")),
-        "EVENT_ID": F.col("event_id") >= 0,
-        "TIME": (F.col("received_ns") >= F.col("t_ns")) & F.col("t_ns").isNotNull(),
+        "EVENT_ID": F.col("event_id").isNotNull(),
+        "TIME": F.col("received_ns") >= F.col("t_ns"),
         "TYPE": F.col("type").isin(*PAYLOADS),
+        "TYPES": _types_hold(),
         "FIELDS": _fields_match(),
         "VALUES": _values_hold(),
     }
-    return rows.withColumn("codes", validation.errors(broken)).drop("_data")
+    return rows.withColumn("codes", validation.errors(broken)).drop("_data", "_v")
 
 
 def _fields_match() -> Column:
