@@ -201,6 +201,13 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return marked.join(named, "fp", "left").select("doc_id", "content", "fp", "component", "component_id")
 
 
+def fingerprint_links(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **how: int) -> DataFrame:
+    """a, b: hashes of different texts that close fingerprints join; each is linked with the smallest hash of its component."""
+    near = stored(near_duplicates(docs, doc_id=doc_id, text=text, **how).select("content", "component"))
+    first = stored(near.groupBy("component").agg(F.min("content").alias("a"), F.max("content").alias("z")).filter("a <> z").select("component", "a"))
+    return stored(near.join(first, "component").filter("content <> a").select("a", F.col("content").alias("b"))).distinct()
+
+
 def hexadecimal(fp) -> T.StringType:
     """The 16 lower-case hexadecimal digits of a fingerprint column."""
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
