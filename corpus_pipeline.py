@@ -24,8 +24,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts with close fingerprints, then of those that share 0.8 of their five-word shingles, the one with the smallest doc_id stays."""
-    return shingles.deduplicated(simhash.deduplicated(docs))
+    """Texts with close fingerprints are linked, and those that share 0.8 of their five-word shingles; of all that links reach the one with the smallest doc_id stays."""
+    return shingles.deduplicated(docs, links=simhash.fingerprint_links(docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
