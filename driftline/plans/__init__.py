@@ -36,4 +36,4 @@ EVENTS_CTE = """WITH ev AS (
 
 def load() -> None:
     """Import every module of queries."""
-    from . import audits, calibration, diagnostics, filters, inertial, joins, matching, mounts, profiles, streams, tracks, windows  # noqa: F401
+    from . import audits, calibration, diagnostics, filters, inertial, joins, matching, models, mounts, profiles, streams, tracks, windows  # noqa: F401
