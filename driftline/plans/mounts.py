@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftline.functions.scalars import half_even as r
-from driftline.operators import mounting
+from driftline.operators import in_motion, mounting
 from driftline.sources.tables import events
 
 from . import query
+from .inertial import motion
 
 WINDOWS = [240.0, 480.0, 720.0]
 #: Hours stand for seconds: a session is a month long and has some seventy fixes.
@@ -88,3 +89,42 @@ SELECT v.user_id, v."window", round_even(theta, 5) AS theta, moving, coalesce((S
 def mount_release(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first window of each session that is valid, when it can be used, and why earlier ones were refused."""
     return mounting.released(solutions(spark, sf_dir), "user_id").select("user_id", "window", r(F.col("theta"), 5).alias("theta"), "moving", "refused")
+
+
+#: Rows stand a second apart and speeds change slowly: what a segment must have is scaled to that.
+IN_MOTION = in_motion.Limits(moving=3.5, parked=3.0, longest=20.0, most_accuracy=16.0, straight_rate=0.06, straight_share=0.6, excitation=0.05, slope=0.02, ratio_low=0.2, ratio_high=5.0, course_spread=60.0, baseline=10.0, course_displacement=60.0, agreement=50.0, handling_rate=0.02, remount_turn=4.0)
+
+
+def moves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Fixes, samples and rests of each session, a second apart, felt by a device that is turned by its user's number and knocked now and then."""
+    m = motion(spark, sf_dir).withColumn("t", F.col("k").cast("double"))
+    psi = (F.col("user_id") % 8) * (F.pi() / 4)
+    turn = F.col("turn") / 8
+    along, left = F.col("along") / 10, F.col("speed") * turn
+    noise = lambda a: ((F.col("event_id") * a) % 13 - 6) / F.lit(500.0)
+    zero = F.lit(0.0)
+    course = F.pmod(90.0 - F.degrees("yaw"), F.lit(360.0))
+    fixes = m.select("user_id", "t", "speed", F.when(F.col("event_id") % 4 > 0, course).alias("course"), (F.col("east") * 10).alias("east"), (F.col("north") * 10).alias("north"), (F.lit(4.0) + F.col("event_id") % 13).alias("accuracy"))
+    samples = m.select(
+        "user_id", (F.col("t") + 0.5).alias("t"), (F.cos(psi) * along - F.sin(psi) * left + noise(7)).alias("fx"), (F.sin(psi) * along + F.cos(psi) * left + noise(5)).alias("fy"), F.lit(9.8).alias("fz"),
+        zero.alias("wx"), zero.alias("wy"), (turn + noise(3)).alias("wz"),
+    )
+    tilt = F.when(F.col("k") > 45, 0.3).otherwise(0.0) * (F.col("user_id") % 3 == 0).cast("double") + noise(11)
+    rests = m.filter("k % 15 = 1").select("user_id", "t", F.sin(tilt).alias("ux"), zero.alias("uy"), F.cos(tilt).alias("uz"))
+    return fixes, samples, rests
+
+
+@query()
+def straight_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every run of moving fixes with what its straight motion says of forward, or why it says nothing."""
+    out = in_motion.segments(*moves(spark, sf_dir), "user_id", IN_MOTION)
+    return out.select("user_id", "segment", "t", "code", r(F.col("yaw"), 5).alias("yaw"))
+
+
+@query()
+def in_motion_mount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of each session's mount after every rest, accepted segment and turn."""
+    fixes, samples, rests = moves(spark, sf_dir)
+    found = in_motion.segments(fixes, samples, rests, "user_id", IN_MOTION)
+    out = in_motion.estimated(rests, found, in_motion.handling(samples, fixes, "user_id", IN_MOTION), "user_id", IN_MOTION)
+    return out.select("user_id", "t", "kind", "event", "status", r(F.col("yaw"), 5).alias("yaw"), "evidence")

@@ -12,7 +12,7 @@ from driftline.sources.tables import events
 plans.load()
 STREAMS = {n for n in plans.QUERIES if n.startswith("stream_")}
 #: What runs numpy in tasks, and why it must: sequential state, small solves, trellises, networks.
-NUMPY = {"hmm_match", "strapdown", "position_filter", "mount_slips", "least_squares", "sensor_pairs", "doppler_solve", "mlp_inference", "trellis_match", "greedy_match", "inertial_filter", "inertial_arms", "strapdown_navigation", "window_model"}
+NUMPY = {"hmm_match", "strapdown", "position_filter", "mount_slips", "least_squares", "sensor_pairs", "doppler_solve", "mlp_inference", "trellis_match", "greedy_match", "inertial_filter", "inertial_arms", "strapdown_navigation", "window_model", "in_motion_mount"}
 
 
 def plan(df) -> str:
