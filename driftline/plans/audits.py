@@ -7,8 +7,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from driftline.functions import rotations
 from driftline.functions.scalars import group_key, half_even as r, hash_mod3, header_key, leading_count
-from driftline.sources import files, records
+from driftline.operators import rotation_sets
+from driftline.sources import files, records, shifts
+from driftline.sources.storage import shared_path
 from driftline.sources.tables import events, table
 
 from . import query
@@ -185,3 +188,43 @@ def prefix_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = events(spark, sf_dir)
     pick = lambda k: ev.filter(F.col("event_id") % 3 != k).select("user_id", "event_type", "value")
     return pick(0).exceptAll(pick(1))
+
+
+#: Headers of a phone's log and the kinds of their values.
+PHONE = {"Id": "number", "Latitude": "number", "Speed": "number", "Satellites": "ratio", "Counter": "number", "Time": "datetime"}
+
+
+@query("""
+SELECT event_id::VARCHAR AS id, (event_id % 90)::VARCHAR AS latitude, value::VARCHAR AS speed, (event_id % 9) || ' / ' || (event_id % 9 + 5) AS satellites, (event_id % 1000)::VARCHAR AS counter, strftime(make_timestamp(t_us), '%Y-%m-%d %H:%M:%S') AS time, 3 AS shift FROM ev""")
+def shifted_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log whose values stand one column off from the fourth on, written, recognised by what its columns hold, and read in place."""
+    ev = events(spark, sf_dir)
+    k = F.col("event_id")
+    text = lambda c: c.cast("string")
+    ratio = F.concat_ws(" / ", text(k % 9), text(k % 9 + 5))
+    time = F.date_format(F.timestamp_micros("t_us"), "yyyy-MM-dd HH:mm:ss")
+    values = (text(k), text(k % 90), text(F.col("value")), F.lit(""), ratio, text(k % 1000), time)
+    path = shared_path(spark, "shifted")
+    ev.select(*[c.alias(h) for c, h in zip(values, [*PHONE, " "], strict=True)]).write.csv(path, header=True, emptyValue="")
+    return shifts.read_shifted_csv(spark, path, {h: h.lower() for h in PHONE}, PHONE)
+
+
+ROTATION = """-- part
+WITH p AS (SELECT p_partkey AS part, p_partkey % 120 AS k, radians((p_partkey * 13) % 40 * 9) + (p_partkey // 120) % 3 * 0.0016::DOUBLE AS angle, CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE -1 END AS s, ((p_partkey * 7) % 5 - 2)::DOUBLE AS x, ((p_partkey * 11) % 5 - 2)::DOUBLE AS y, (1 + p_partkey % 3)::DOUBLE AS z FROM part),
+q AS MATERIALIZED (SELECT part, s * cos(angle / 2) AS w, s * sin(angle / 2) * x / sqrt(x * x + y * y + z * z) AS x, s * sin(angle / 2) * y / sqrt(x * x + y * y + z * z) AS y, s * sin(angle / 2) * z / sqrt(x * x + y * y + z * z) AS z FROM p),
+e AS MATERIALIZED (SELECT a.part AS a, b.part AS b FROM q a JOIN q b ON 2 - 2 * abs(a.w * b.w + a.x * b.x + a.y * b.y + a.z * b.z) <= 1e-6),
+m1 AS MATERIALIZED (SELECT a, min(b) AS m FROM e GROUP BY a), m2 AS MATERIALIZED (SELECT e.a, min(m1.m) AS m FROM e JOIN m1 ON m1.a = e.b GROUP BY e.a), m3 AS MATERIALIZED (SELECT e.a, min(m2.m) AS m FROM e JOIN m2 ON m2.a = e.b GROUP BY e.a),
+m4 AS MATERIALIZED (SELECT e.a, min(m3.m) AS m FROM e JOIN m3 ON m3.a = e.b GROUP BY e.a)
+SELECT a AS part, m AS first FROM m4"""
+
+
+@query(ROTATION)
+def distinct_rotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rotations of the parts, some turned a little further in two steps and of either sign: the first of each that tolerance joins."""
+    k = F.col("p_partkey")
+    angle = F.radians((k * 13) % 40 * 9) + F.floor(k / 120) % 3 * F.lit(0.0016)
+    axis = [((k * 7) % 5 - 2).cast("double"), ((k * 11) % 5 - 2).cast("double"), (1 + k % 3).cast("double")]
+    sign = F.when(k % 2 == 0, 1.0).otherwise(-1.0)
+    rows = table(spark, sf_dir, "part").select(k.alias("part"), F.array(*axis).alias("axis"), angle.alias("angle"), sign.alias("sign")).withColumn("n", rotations.norm(F.col("axis")))
+    q = F.array(F.col("sign") * F.cos(F.col("angle") / 2), *[F.col("sign") * F.sin(F.col("angle") / 2) * F.col("axis")[i] / F.col("n") for i in range(3)])
+    return rotation_sets.distinct_rotations(rows.select("part", q.alias("q")), "part", "q", tolerance=1e-3)
