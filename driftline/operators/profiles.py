@@ -56,15 +56,12 @@ def clock_stats(rows: DataFrame, keys: list[str], order: str, t: str, *, floor:
 def bounds_grid(rows: DataFrame, keys: list[str], x: str, bounds: list[float], digits: int = 4) -> DataFrame:
     """For each key and bound: how many values are above it, their share and their maximum.
 
-    The bounds are a literal array that is expanded on each map side row, then
-    summed before the shuffle; the result has a row for every key and bound.
+    One pass of conditional aggregates, a few for each bound; the rows for the bounds are made after the shuffle.
     """
-    over = F.col(x) > F.col("bound")
-    return (
-        rows.withColumn("bound", F.explode(F.array(*map(F.lit, bounds))))
-        .groupBy(*keys, "bound")
-        .agg(F.count(x).alias("n"), F.count_if(over).alias("n_over"), r(F.count_if(over) / F.count(x), digits).alias("share_over"), r(F.max(F.when(over, F.col(x)))).alias("max_over"))
-    )
+    own = [c for k, b in enumerate(bounds) for c in (F.count_if(F.col(x) > b).alias(f"_n{k}"), F.max(F.when(F.col(x) > b, F.col(x))).alias(f"_m{k}"))]
+    sums = rows.groupBy(*keys).agg(F.count(x).alias("n"), *own)
+    each = [F.struct(F.lit(b).alias("bound"), F.col(f"_n{k}").alias("n_over"), F.col(f"_m{k}").alias("max_over")) for k, b in enumerate(bounds)]
+    return sums.select(*keys, "n", F.inline(F.array(*each))).select(*keys, "bound", "n", "n_over", r(F.col("n_over") / F.col("n"), digits).alias("share_over"), r(F.col("max_over")).alias("max_over"))
 
 
 def top_repeats(rows: DataFrame, keys: list[str], value: str, k: int) -> DataFrame:

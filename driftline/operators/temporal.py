@@ -62,13 +62,18 @@ def interp_join(left: DataFrame, right: DataFrame, keys: list[str], t: str, valu
 def nearest_join(left: DataFrame, right: DataFrame, keys: list[str], t: str, *, prefix: str = "r_", within: int | None = None) -> DataFrame:
     """Each left row with the right row of the nearest time; the earlier one on a tie."""
     payload = [c for c in right.columns if c not in keys]
-    back = asof_join(left, right, keys, t, prefix="_b_")
-    both = asof_join(back, right, keys, t, prefix="_f_", forward=True)
-    before, after = F.col(t) - F.col(f"_b_{t}"), F.col(f"_f_{t}") - F.col(t)
+    rows = _both(left, right, keys, t, payload, right_first=True)
+    # one sort: what is at or before a row is behind it, what is after it ahead
+    w = Window.partitionBy(*keys).orderBy("_t", "_side", "_right")
+    back = F.last("_right", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    ahead = F.first("_right", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    both = rows.select("_t", "_left", back.alias("_b"), ahead.alias("_f")).filter("_left IS NOT NULL")
+    before, after = F.col("_t") - F.col(f"_b.{t}"), F.col(f"_f.{t}") - F.col("_t")
     first = F.coalesce(before <= after, before.isNotNull())
     near = F.when(first, before).otherwise(after)
     ok = near <= within if within is not None else F.lit(True)
-    return both.select(*left.columns, *[F.when(ok, F.when(first, F.col(f"_b_{c}")).otherwise(F.col(f"_f_{c}"))).alias(prefix + c) for c in payload])
+    hit = F.when(ok, F.when(first, F.col("_b")).otherwise(F.col("_f")))
+    return both.select("_left.*", *[hit[c].alias(prefix + c) for c in payload])
 
 
 def range_join(points: DataFrame, intervals: DataFrame, keys: list[str], t: str, start: str, end: str, *, width: int, how: str = "inner", prefix: str = "iv_") -> DataFrame:

@@ -154,20 +154,21 @@ SELECT event_id, count(*) AS n, round_even(any_value(m) + ln(sum(exp(-0.5 * pow(
 def match_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log-sum-exp of all candidates' likelihoods."""
     near = near_segments(spark, sf_dir, 1 << 30).select("event_id", (-0.5 * F.pow(F.col("distance_m") / 100.0, 2)).alias("x"))
-    m = near.groupBy("event_id").agg(F.max("x").alias("m"))
-    return near.join(m, "event_id").groupBy("event_id").agg(F.count("*").alias("n"), r(F.first("m") + F.ln(F.sum(F.exp(F.col("x") - F.col("m"))))).alias("evidence"))
+    near = near.withColumn("m", F.max("x").over(Window.partitionBy("event_id")))
+    return near.groupBy("event_id").agg(F.count("*").alias("n"), r(F.first("m") + F.ln(F.sum(F.exp(F.col("x") - F.col("m"))))).alias("evidence"))
 
 
 @query()
 def hmm_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The likeliest road at each fix of a session, by a trellis over the ranked candidates."""
     near = near_segments(spark, sf_dir, 8)
-    w = Window.partitionBy("user_id").orderBy("t_us", "event_id")
     along = F.col("place") * geodesy.planar(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
     emission = spatial.emission(F.col("distance_m") / 10, undirected_residual(F.radians("bearing"), F.col("heading")))
+    # the row before a fix's first candidate is one of the fix before
+    w = Window.partitionBy("user_id").orderBy("t_us", "event_id", "rank")
     step = geodesy.planar(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon"))
-    fixes = near.select("user_id", "event_id", "t_us", "lat", "lon").distinct().select("user_id", "event_id", F.coalesce(step, F.lit(0.0)).alias("travelled_m"))
-    rows = near.join(fixes, ["user_id", "event_id"]).select("user_id", "event_id", (F.col("t_us") / 1e6).alias("t"), "segment", F.xxhash64("lat1", "lon1").alias("u"), F.xxhash64("lat2", "lon2").alias("v"), emission.alias("log_emission"), "travelled_m", along.alias("along_m"))
+    near = near.withColumn("step", F.when(F.col("rank") == 1, F.coalesce(step, F.lit(0.0))))
+    rows = near.withColumn("travelled_m", F.max("step").over(Window.partitionBy("user_id", "event_id"))).select("user_id", "event_id", (F.col("t_us") / 1e6).alias("t"), "segment", F.xxhash64("lat1", "lon1").alias("u"), F.xxhash64("lat2", "lon2").alias("v"), emission.alias("log_emission"), "travelled_m", along.alias("along_m"))
     return sequential.viterbi(rows, "user_id", fix="event_id")
 
 
