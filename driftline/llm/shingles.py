@@ -61,7 +61,7 @@ def band_keys(column: pa.Array, width: int, n_bands: int, n_rows: int) -> pa.Lis
     return pa.ListArray.from_arrays(np.cumsum(ends).astype(np.int32), pa.array(keys.ravel().view(np.int64)))
 
 
-def similar_links(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, least: float = 0.8, n_bands: int = 24, n_rows: int = 5, most: int = 2048, broadcast_rows: int = 1_000_000) -> DataFrame:
+def similar_links(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, least: float = 0.8, n_bands: int = 24, n_rows: int = 5, most: int = 512, broadcast_rows: int = 1_000_000) -> DataFrame:
     """a, b: hashes of different texts that are similar. Texts that links reach from one another are those that similarity reaches."""
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,22 +76,30 @@ def similar_links(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))], ["content", "shingles"])
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Links between the members of each key, rows ordered by key; at most ``most`` of a key but for what no band cuts."""
-        key, heads = None, []
+        """Links between the members of each key, rows ordered by key; at most ``most`` of a key but for what no band cuts.
+
+        A member that is linked to one of a cluster is not compared with the others of it.
+        """
+        key, members = None, []
         for b in batches:
             keys, contents, found = b.column(0).to_numpy(), b.column(1).to_numpy(), []
             values, ends = b.column(2).values.to_numpy(), b.column(2).offsets.to_numpy()
             for k, c, i, j in zip(keys, contents, ends[:-1], ends[1:], strict=True):
                 if k != key:
-                    key, heads = k, []
-                s = values[i:j]
-                for other, x in heads:
-                    if min(len(x), len(s)) < least * max(len(x), len(s)) - 1e-9:
-                        continue
-                    both = len(np.intersect1d(x, s, assume_unique=True))
-                    if both >= least * (len(x) + len(s) - both) - 1e-9:
-                        found.append((other, c))
-                heads.append((c, s.copy()))
+                    key, members = k, []
+                s, own = values[i:j], []
+                # members: clusters of (content, shingles), the latest first
+                for group in members:
+                    for other, x in group:
+                        if min(len(x), len(s)) < least * max(len(x), len(s)) - 1e-9:
+                            continue
+                        both = len(np.intersect1d(x, s, assume_unique=True))
+                        if both >= least * (len(x) + len(s) - both) - 1e-9:
+                            found.append((other, c))
+                            own.append(group)
+                            break
+                merged = [(c, s.copy()), *(m for g in own for m in g)]
+                members = [merged, *(g for g in members if not any(g is o for o in own))]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["a", "b"])
 
     given = docs.select(F.xxhash64(text).alias("content"), F.col(text).alias("text"))
