@@ -9,9 +9,9 @@ the one before (trigram), and that class alone (skip).
 
 The softmax inside a class is log-linear too: a word's bias is its add-one count (words
 never seen share one place), and a feature joins it with its history, by the words' own
-64-bit hashes. The history is the word before (bigram) if that word's hash falls into the
-share ``history_share``, else the word before that one (skip) if its hash does, else
-none. A feature stands for every pair of history and word that occurs at least ``least_pairs``
+64-bit hashes. The history is the word before (bigram), whichever it is. Only if the caller asks for a
+``history_share`` under 1 it is the word before if that word's hash falls into the share, else the word
+before that one (skip) if its hash does, else none. A feature stands for every pair of history and word that occurs at least ``least_pairs``
 times in training, so the features grow with the corpus. Words without a
 feature keep their bias, so a history's normaliser is its class's plus a sum over features alone.
 
@@ -23,10 +23,14 @@ feature keep their bias, so a history's normaliser is its class's plus a sum ove
    the gradient of its features, the driver takes a step scaled by each
    feature's expected count, and sends the weights out again. Weights are a
    table of ``2 ** feature_bits`` rows, whatever the corpus.
-4. Pairs of history and word are counted and added up the same way and stay in Spark, dealt by
-   history. A round is a sum by history (the normaliser) and a step of each feature along its
-   gradient, observed less expected less ridge.
-5. Scores: batches look up the commonest words, features and histories in tables of
+4. Every occurrence of a history and a word, of all texts, is dealt once to its history's shard, as the
+   places of the two in the table of the commonest words (others as hashes). A shard counts its pairs over
+   the training texts and makes the gradient rounds: a round is a sum by history (the normaliser) and a
+   step of each feature along its gradient, observed less expected less ridge. It returns what each
+   text gains. The number of shards grows with the corpus.
+5. Words with over ``frequent`` occurrences would be too much for a shard as histories: their
+   pairs are counted in the tasks first, added up by Spark, and the rounds are windows that spill.
+6. Scores: batches look up the commonest words, and features and histories of frequent words, in tables of
    bounded size; Spark joins the other occurrences with the whole tables.
 
 Defined cases: a null text counts as empty and is its end token alone; a null
@@ -41,6 +45,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -101,8 +106,8 @@ class Table:
 class Vocabulary:
     """The commonest words, by falling count: their classes and symbols."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray) -> None:
-        self.find, self.counts, self.head = Lookup(hashes), counts, hashes[:HEAD]
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, shapes: np.ndarray | None = None) -> None:
+        self.find, self.counts, self.head, self.hashes, self.shapes = Lookup(hashes), counts, hashes[:HEAD], hashes, shapes
 
     def read(self, h: np.ndarray, shape: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rank (-1: rare), class and context number of each token."""
@@ -117,27 +122,38 @@ class Vocabulary:
         return rank, cls, one * 64 + two
 
 
-def histories(h: np.ndarray, cls: np.ndarray, first: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
-    """The tokens that have a history, and its hash (which its class is part of) for each of them.
+def histories(h: np.ndarray, cls: np.ndarray, first: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens that have a history, its hash for each of them, and how many tokens back it is (0: before the text).
 
     A word that is a class of its own needs none.
     """
-    bounds = []
-    for back in (1, 2):
-        before = np.roll(h, back)
+    bounds, backs = [], []
+    for back in (1, 2) if share < 1 else (1,):
+        before, far = np.roll(h, back), np.full(len(h), back)
         for k in range(back):
             at = first[:-1] + k
-            before[at[at < first[1:]]] = BEFORE
+            at = at[at < first[1:]]
+            before[at], far[at] = BEFORE, 0
         bounds.append(mixed(before + np.uint64(back)))
+        backs.append(far)
     if share >= 1:
-        one, chosen = np.ones(len(h), bool), bounds[0]
-        two = one
-    else:
-        limit = np.uint64(int(share * 2.0**64))
-        one, two = bounds[0] < limit, bounds[1] < limit
-        chosen = np.where(one, bounds[0], bounds[1])
+        at = np.flatnonzero(cls >= HEAD)
+        return at, bounds[0][at], backs[0][at]
+    limit = np.uint64(int(share * 2.0**64))
+    one, two = bounds[0] < limit, bounds[1] < limit
     at = np.flatnonzero((one | two) & (cls >= HEAD))
-    return at, mixed(chosen[at] ^ mixed(cls[at].astype(np.uint64) + np.uint64(1)))
+    return at, np.where(one, *bounds)[at], np.where(one, *backs)[at]
+
+
+def classed(history: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    """The history's hash with the class that it is for."""
+    return mixed(history ^ mixed(cls.astype(np.uint64) + np.uint64(1)))
+
+
+def is_frequent(rank: np.ndarray, back: np.ndarray, at: np.ndarray, frequent: tuple[int, bool]) -> np.ndarray:
+    """Whether the history of each of the tokens ``at`` is frequent: one of the first so many words, or what stands before a text."""
+    of = rank[at - back]
+    return np.where(back > 0, (of >= 0) & (of < frequent[0]), frequent[1])
 
 
 def features(context: np.ndarray, bits: int) -> np.ndarray:
@@ -211,8 +227,8 @@ def commonest(counts: DataFrame, most: int, key: str, count: str, value: str) ->
     return k[order], t["v"].to_numpy()[order], level(count) < least
 
 
-def pair_counts(texts: DataFrame, vocabulary, share: float, most: int = 1_000_000) -> DataFrame:  # noqa: ANN001
-    """q (a history), h (a word) and n: how often the word followed it; and total, how often any word did."""
+def pair_counts(texts: DataFrame, vocabulary, share: float, frequent: tuple[int, bool], most: int = 1_000_000) -> DataFrame:  # noqa: ANN001
+    """q (a frequent history), h (a word) and n: how often the word followed it; and total, how often any word did."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, n, q, h = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
@@ -222,8 +238,10 @@ def pair_counts(texts: DataFrame, vocabulary, share: float, most: int = 1_000_00
 
         for b in blocks(batches, "text"):
             th, shape, first = tokens_of(b.column(0))
-            _, cls, _ = vocabulary.value.read(th, shape, first)
-            at, tq = histories(th, cls, first, share)
+            rank, cls, _ = vocabulary.value.read(th, shape, first)
+            at, history, back = histories(th, cls, first, share)
+            hot = is_frequent(rank, back, at, frequent)
+            at, tq = at[hot], classed(history, cls[at])[hot]
             p, n, q, h = _sums(np.r_[p, tq ^ th[at]], np.r_[n, np.ones(len(at), np.int64)], np.r_[q, tq], np.r_[h, th[at]])
             if len(p) > most:
                 yield out()
@@ -254,6 +272,142 @@ def word_weights(pairs: DataFrame, counts: DataFrame, places: list[float], *, ro
     return rows.select("q", "h", "n", "total", "b", F.log(norm / F.col("all")).alias("z"))
 
 
+def packed(n: int, *columns: np.ndarray) -> bytes:
+    """Columns, each by its first bytes, second bytes and so on, compressed; before them ``n`` and the size."""
+    raw = b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), c.itemsize).T).tobytes() for c in columns)
+    return np.array([n, len(raw)], np.uint32).tobytes() + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
+
+
+class Unpacked:
+    """What ``packed`` took, read in its order."""
+
+    def __init__(self, body: bytes) -> None:
+        self.n, size = np.frombuffer(body, np.uint32, 2).tolist()
+        self.raw, self.at = pa.Codec("zstd").decompress(body[8:], size, asbytes=True), 0
+
+    def __call__(self, kind: type, n: int) -> np.ndarray:
+        width = np.dtype(kind).itemsize
+        c = np.frombuffer(self.raw, np.uint8, n * width, self.at).reshape(width, n)
+        self.at += n * width
+        return np.ascontiguousarray(c.T).view(kind).ravel()
+
+
+class Dealt:
+    """Occurrences of histories and words, kept until there are enough to deal to the shards.
+
+    A history is 0 (its hash is sent), or twice its place in the vocabulary and its distance; a word is 0
+    (hash and shape are sent), or its place and one.
+    """
+
+    def __init__(self, shards: int) -> None:
+        self.shards, self.parts, self.n = shards, [], 0
+
+    def add(self, text: np.ndarray, q: np.ndarray, history: np.ndarray, history_rank: np.ndarray, back: np.ndarray, h: np.ndarray, rank: np.ndarray, shape: np.ndarray) -> None:
+        """``text``: twice the number of the text, and one if it is held out; in order."""
+        shard = (q >> np.uint64(32)) * np.uint64(self.shards) >> np.uint64(32)
+        kind = np.uint16 if self.shards < 1 << 16 else np.uint32  # 16 bits sort by counting
+        code = np.where((back > 0) & (history_rank >= 0), history_rank * 2 + back, 0)
+        self.parts.append((shard.astype(kind), text.astype(np.uint32), code.astype(np.uint32), (rank + 1).astype(np.uint32), history, h, shape.astype(np.uint8)))
+        self.n += len(q)
+
+    def out(self) -> tuple[list[int], list[bytes], np.ndarray, np.ndarray]:
+        """Shards and what each is sent; shards and the rare words of training texts whose counts they need."""
+        shard, text, code, word, history, h, shape = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.argsort(shard, kind="stable")
+        shard, text, code, word, history, h, shape = (x[order] for x in (shard, text, code, word, history, h, shape))
+        at = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
+        bodies = []
+        for a, b in zip(at.tolist(), [*at[1:].tolist(), len(shard)], strict=True):
+            own, rare = code[a:b] == 0, word[a:b] == 0
+            bodies.append(packed(b - a, np.diff(text[a:b], prepend=np.uint32(0)), code[a:b], word[a:b], history[a:b][own], h[a:b][rare], shape[a:b][rare]))
+        asked = np.flatnonzero((word == 0) & (text & 1 == 0))
+        _, one = np.unique(mixed(h[asked] ^ mixed(shard[asked].astype(np.uint64) + np.uint64(1))), return_index=True)
+        self.parts, self.n = [], 0
+        return shard[at].tolist(), bodies, shard[asked[one]], h[asked[one]]
+
+
+def shard_scores(vocabulary, places: np.ndarray, *, least_pairs: int, rounds: int, ridge: float, rate: float = 0.7):  # noqa: ANN001, ANN201
+    """For a shard's occurrences: what its features and normalisers add to each text (log10).
+
+    ``places``: the sum of the add-one counts of each shape.
+    """
+
+    def run(t: pa.Table) -> pa.Table:
+        v, sent = vocabulary.value, t["body"].is_valid()
+        rare = t.filter(pc.invert(sent))
+        rare = Table(rare["h"].to_numpy().view(np.uint64), rare["c"].to_numpy())
+        t = t.filter(sent)
+        texts, ends, qs, hs, shapes, biases = [], [0], [], [], [], []
+        for body in t["body"].to_pylist():
+            read = Unpacked(body)
+            texts.append(np.cumsum(read(np.uint32, read.n), dtype=np.uint32))
+            code, word = read(np.uint32, read.n).astype(np.int64), read(np.uint32, read.n).astype(np.int64)
+            own, unknown = np.flatnonzero(code == 0), np.flatnonzero(word == 0)
+            if len(v.hashes):
+                history = mixed(v.hashes[np.maximum(code - 1, 0) >> 1] + ((code - 1 & 1) + 1).astype(np.uint64))
+                h, shape, bias = v.hashes[word - 1], v.shapes[word - 1].astype(np.int64), v.counts[word - 1] + 1.0
+            else:
+                history, h, shape, bias = np.zeros(read.n, np.uint64), np.zeros(read.n, np.uint64), np.zeros(read.n, np.int64), np.zeros(read.n)
+            history[own] = read(np.uint64, len(own))
+            h[unknown] = read(np.uint64, len(unknown))
+            shape[unknown] = read(np.uint8, len(unknown))
+            bias[unknown] = rare(h[unknown])[1] + 1.0  # what is not there is too rare for a feature
+            ends.append(ends[-1] + read.n)
+            for x, y in ((qs, classed(history, shape + HEAD)), (hs, h), (shapes, shape.astype(np.uint8)), (biases, bias)):
+                x.append(y)
+        if not texts:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.binary())], ["row", "body"])
+        q, h, shape, bias = (np.concatenate(x) for x in (qs, hs, shapes, biases))
+        train = np.concatenate([x & 1 == 0 for x in texts])
+        pair = q ^ h
+        del hs, qs, h
+        # pairs once, in the order of their histories
+        order = np.argsort(pair)
+        new = np.r_[True, pair[order[1:]] != pair[order[:-1]]]
+        of = np.empty(len(pair), np.int64)
+        of[order] = np.cumsum(new) - 1
+        at = np.flatnonzero(new)
+        n, one = np.add.reduceat(train[order].astype(np.int64), at), order[at]
+        del order, new, pair
+        by = np.argsort(q[one])
+        n, one = n[by], one[by]
+        new = np.r_[True, q[one[1:]] != q[one[:-1]]]
+        group = np.cumsum(new) - 1
+        total, whole = np.add.reduceat(n, np.flatnonzero(new)).astype(float), places[shape[one[new]]]
+        f = np.flatnonzero(n >= least_pairs)
+        g, seen, bias = group[f], n[f].astype(float), bias[one[f]]
+        start = total[g] * bias / whole[g]
+        b = np.log((seen + ridge) / (start + ridge))
+        norm = lambda: whole + np.bincount(g, bias * np.expm1(b), len(whole))
+        for _ in range(rounds):
+            hope = total[g] * bias * np.exp(b) / norm()[g]
+            b = b + rate * np.clip((seen - hope - ridge * b) / (hope + ridge), -1, 1)
+        # a history without features has log(whole / whole)
+        gain = -np.log(norm() / whole)[group]
+        gain[f] += b
+        back = np.empty(len(by), np.int64)
+        back[by] = np.arange(len(by))
+        gain = gain[back[of]] / np.log(10)
+        bodies = []
+        for text, a in zip(texts, ends[:-1], strict=True):
+            at = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
+            bodies.append(packed(len(at), np.diff(text[at] >> 1, prepend=np.uint32(0)), np.add.reduceat(gain[a : a + len(text)], at).astype(np.float32)))
+        return pa.table([t["row"], pa.array(bodies, pa.binary())], ["row", "body"])
+
+    return run
+
+
+def added(t: pa.Table) -> pa.Table:
+    """What all shards add to the texts that were dealt together."""
+    texts, gains = [], []
+    for body in t["body"].to_pylist():
+        read = Unpacked(body)
+        texts.append(np.cumsum(read(np.uint32, read.n), dtype=np.uint32))
+        gains.append(read(np.float32, read.n))
+    gain = np.bincount(np.concatenate(texts), np.concatenate(gains))
+    return pa.table([pa.array(t["row"][0].as_py() + np.arange(len(gain))), pa.array(gain)], ["row", "more"])
+
+
 def events(texts: DataFrame, vocabulary) -> DataFrame:  # noqa: ANN001
     """one (last symbol), context, class and n: how often the class followed the context."""
 
@@ -316,19 +470,21 @@ def trained(counted: DataFrame, *, feature_bits: int = 16, rounds: int = 12, rat
     return weights
 
 
-def lm_scores(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", held_out_fold: int = 2, top_words: int = 1 << 19, feature_bits: int = 16, rounds: int = 12, history_share: float = 0.125, least_pairs: int = 2, word_rounds: int = 6, ridge: float = 0.5) -> DataFrame:
+def lm_scores(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", held_out_fold: int = 2, top_words: int = 1 << 19, feature_bits: int = 16, rounds: int = 12, history_share: float = 1.0, least_pairs: int = 2, word_rounds: int = 6, ridge: float = 0.5, frequent: int = 1 << 22, shard: int = 1_500_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
 
-    What goes to every executor: ``top_words`` words of 24 bytes, as many features and
-    histories of 16, and a table of ``2 ** feature_bits`` weights for each class.
+    What goes to every executor: ``top_words`` words of 33 bytes, as many features and
+    histories of frequent words of 16, and a table of ``2 ** feature_bits`` weights for each class. A shard holds about
+    ``shard`` occurrences; a word with over ``frequent`` in training is as a history in none.
     """
     spark = docs.sparkSession
     given = text_batches(docs.select(F.col(doc_id).alias("doc_id"), (fold(doc_id) == held_out_fold).alias("held_out"), F.col(text).alias("text")))
     learn = given.filter(~F.col("held_out"))
     counts = stored(word_counts(learn))
     n, v = (int(x or 0) for x in counts.agg(F.sum("c"), F.count("*")).first())
-    hashes, often, rare_word = commonest(counts, top_words, "h", "c", "c")
-    vocabulary = Vocabulary(hashes, often.astype(np.int64))
+    hashes, often, rare_word = commonest(counts.withColumn("both", F.col("c") * 64 + F.col("shape")), top_words, "h", "c", "both")
+    often = often.astype(np.int64)
+    vocabulary = Vocabulary(hashes, often >> 6, (often & 63).astype(np.uint8))
     words = spark.sparkContext.broadcast(vocabulary)
     weights = spark.sparkContext.broadcast(trained(events(learn, words), feature_bits=feature_bits, rounds=rounds))
     # tokens and types of each class by shape, without the words that are classes
@@ -337,21 +493,44 @@ def lm_scores(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", he
     for shape, tokens, types in counts.filter(~F.col("h").isin(head) if head else F.lit(True)).groupBy("shape").agg(F.sum("c"), F.count("*")).collect():
         mass[shape] = tokens + types
     base_log, class_log = np.log10(n + v + 1), np.log10(mass + 1)
-    pairs = stored(pair_counts(learn, words, history_share).filter(F.col("n") >= least_pairs))
-    learned = stored(word_weights(pairs, counts, (mass + 1).tolist(), rounds=word_rounds, ridge=ridge))
-    joint = learned.select(F.col("q").bitwiseXOR(F.col("h")).alias("key"), "n", (F.col("b") / np.log(10)).cast("float").alias("weight"))
-    alone = learned.groupBy(F.col("q").alias("key")).agg(F.first("total").alias("n"), F.first(-F.col("z") / np.log(10)).cast("float").alias("weight"))
+    # frequent histories: pairs by Spark's windows, looked up or joined; a text's end is counted once for each text
+    end = vocabulary.find(xxh64(np.zeros(1, np.uint8), np.zeros(1, int), np.zeros(1, int)))
+    hot = (int((vocabulary.counts > frequent).sum()), bool(end[0] >= 0 and vocabulary.counts[end[0]] > frequent))
     tables, rare_features = [], []
-    for t in (joint, alone):
-        k, w, rare = commonest(t, top_words, "key", "n", "weight")
-        tables.append(Table(k, w))
-        rare_features.append(t.filter(rare).select("key", F.col("weight").cast("double").alias("weight")))
+    if any(hot):
+        pairs = stored(pair_counts(learn, words, history_share, hot).filter(F.col("n") >= least_pairs))
+        learned = stored(word_weights(pairs, counts, (mass + 1).tolist(), rounds=word_rounds, ridge=ridge))
+        joint = learned.select(F.col("q").bitwiseXOR(F.col("h")).alias("key"), "n", (F.col("b") / np.log(10)).cast("float").alias("weight"))
+        alone = learned.groupBy(F.col("q").alias("key")).agg(F.first("total").alias("n"), F.first(-F.col("z") / np.log(10)).cast("float").alias("weight"))
+        for t in (joint, alone):
+            k, w, rare = commonest(t, top_words, "key", "n", "weight")
+            tables.append(Table(k, w))
+            rare_features.append(t.filter(rare).select("key", F.col("weight").cast("double").alias("weight")))
     tables = spark.sparkContext.broadcast(tables)
     key = dict(docs.dtypes)[doc_id]
+    shards = 1 + n // shard
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 40
+        row = base = TaskContext.get().partitionId() << 40
+        dealt, kinds = Dealt(shards), None
+
+        def rows(**columns) -> pa.RecordBatch:  # noqa: ANN003
+            size = len(next(iter(columns.values())))
+            made = {k: c if isinstance(c, pa.Array) else pa.array(c, kinds[k]) for k, c in columns.items()}
+            return pa.RecordBatch.from_arrays([made[k] if k in made else pa.nulls(size, t) for k, t in kinds.items()], list(kinds))
+
+        def out() -> Iterator[pa.RecordBatch]:
+            to, bodies, shard_of, asked = dealt.out()
+            for k in range(0, len(to), 100):
+                yield rows(row=np.full(len(to[k : k + 100]), base), shard=to[k : k + 100], body=bodies[k : k + 100])
+            if len(asked):
+                yield rows(shard=shard_of.astype(np.int32), h=asked.view(np.int64))
+
         for b in blocks(batches, "text"):
+            kinds = {
+                "row": pa.int64(), "doc_id": b.column(0).type, "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64(),
+                "rare": pa.list_(pa.struct({"key": pa.int64(), "times": pa.int32()})), "shard": pa.int32(), "body": pa.binary(), "h": pa.int64(),
+            }
             h, shape, first = tokens_of(b.column(2))
             rank, cls, context = words.value.read(h, shape, first)
             contexts, where = np.unique(context, return_inverse=True)
@@ -359,27 +538,44 @@ def lm_scores(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", he
             common = rank >= 0
             log_count = np.where(common, np.log10(np.append(words.value.counts, 0)[rank] + 1.0), 0.0)
             score += np.where(cls < HEAD, 0.0, log_count - class_log[shape])
-            # the feature of each token with a history, and the history's normaliser
-            at, q = histories(h, cls, first, history_share)
-            p = q ^ h[at]
-            (has, w), (had, z) = (t(k) for t, k in zip(tables.value, (p, q), strict=True))
-            score[at] += w.astype(float) + z
             of = np.repeat(np.arange(b.num_rows), np.diff(first))
+            at, history, back = histories(h, cls, first, history_share)
+            q = classed(history, cls[at])
+            rare, doc = [h[~common]], [of[~common]]
+            if any(hot):
+                # the feature of each token with a frequent history, and the history's normaliser
+                known = is_frequent(rank, back, at, hot)
+                k, p = at[known], q[known] ^ h[at[known]]
+                (has, w), (had, z) = (t(x) for t, x in zip(tables.value, (p, q[known]), strict=True))
+                score[k] += w.astype(float) + z
+                rare += [p[~has], q[known][~had]]
+                doc += [of[k[~has]], of[k[~had]]]
+                at, history, back, q = at[~known], history[~known], back[~known], q[~known]
+            held = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            dealt.add(((of + (row - base)) * 2 + held[of])[at], q, history, rank[at - back], back, h[at], rank[at], shape[at])
             add = lambda x: np.bincount(of, weights=x, minlength=b.num_rows)  # noqa: E731, B023
             # what is not in the tables, once for each text
-            rare = np.r_[h[~common], p[~has], q[~had]]
-            doc = np.r_[of[~common], of[at[~has]], of[at[~had]]]
+            rare, doc = np.concatenate(rare), np.concatenate(doc)
             _, times, doc, word = _sums(mixed(rare ^ mixed(doc.astype(np.uint64) + np.uint64(1))), np.ones(len(rare), np.int64), doc, rare)
             order = np.argsort(doc, kind="stable")
             at = np.searchsorted(doc[order], np.arange(b.num_rows + 1)).astype(np.int32)
             lists = pa.ListArray.from_arrays(at, pa.StructArray.from_arrays([pa.array(word[order].view(np.int64)), pa.array(times[order].astype(np.int32))], ["key", "times"]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(row + np.arange(b.num_rows)), b.column(0), b.column(1), pa.array(np.diff(first)), pa.array(add(common).astype(np.int64)), pa.array(add(log_count - base_log)), pa.array(add(score)), lists],
-                ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"],
-            )
+            yield rows(row=row + np.arange(b.num_rows), doc_id=b.column(0), held_out=b.column(1), n_tokens=np.diff(first), n_known=add(common).astype(np.int64), base_score=add(log_count - base_log), score=add(score), rare=lists)
             row += b.num_rows
-
-    out = stored(given.mapInArrow(run, f"row long, doc_id {key}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<struct<key:long,times:int>>"))
+            if dealt.n >= 1 << 20:
+                yield from out()
+                base = row
+        if dealt.n:
+            yield from out()
+
+    read = stored(given.mapInArrow(run, f"row long, doc_id {key}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<struct<key:long,times:int>>, shard int, body binary, h long"))
+    out = read.filter(F.col("shard").isNull()).drop("shard", "body", "h")
+    # a rare word's count goes to the shards that ask for it, if it can have a feature
+    asked = read.filter(F.col("h").isNotNull()).select("shard", "h").join(counts.filter(rare_word & (F.col("c") >= least_pairs)).select("h", "c"), "h")
+    sent = read.filter(F.col("body").isNotNull()).select("shard", "row", "body", F.lit(None).cast("long").alias("h"), F.lit(None).cast("long").alias("c"))
+    sent = sent.union(asked.select("shard", F.lit(None).cast("long"), F.lit(None).cast("binary"), "h", "c"))
+    learning = shard_scores(words, mass + 1, least_pairs=least_pairs, rounds=word_rounds, ridge=ridge)
+    gains = sent.groupBy("shard").applyInArrow(learning, "row long, body binary").groupBy("row").applyInArrow(added, "row long, more double")
     # a rare word adds log10(c + 1) to both scores, a feature or history its weight to one; what was never seen adds nothing
     plain = F.log10(F.col("c") + 1)
     known = counts.filter(rare_word).select(F.col("h").alias("key"), F.lit(1).alias("one"), plain.alias("base"), plain.alias("weight"))
@@ -387,10 +583,10 @@ def lm_scores(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", he
         known = known.union(t.select("key", F.lit(0), F.lit(0.0), "weight"))
     times = F.col("times")
     more = out.select("row", F.inline("rare")).join(known, "key").groupBy("row").agg(F.sum(times * F.col("one")).alias("more_known"), F.sum(times * F.col("base")).alias("more_base"), F.sum(times * F.col("weight")).alias("more"))
-    return out.drop("rare").join(more, "row", "left").select(
+    return out.drop("rare").join(more, "row", "left").join(gains.withColumnRenamed("more", "gain"), "row", "left").select(
         "doc_id", "held_out", "n_tokens",
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base_score") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"),
+        (F.col("score") + F.coalesce("more", F.lit(0.0)) + F.coalesce("gain", F.lit(0.0))).alias("score"),
     )

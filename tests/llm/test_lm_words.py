@@ -139,3 +139,14 @@ def test_better_than_the_base_on_texts_held_out(docs):
     base = lm_scoring.lm_scores(docs, least_pairs=1 << 40).collect()
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
     assert sum(r.score for r in out) > sum(r.score for r in base if r.held_out)
+
+
+def test_every_word_has_its_history_unless_asked_otherwise(spark, docs):
+    """A pair counts whatever the hash of its history, in one shard or several, as a frequent history or not."""
+    few = docs.orderBy("doc_id").limit(40).select("doc_id", "text")
+    few = few.union(few).union(spark.createDataFrame([(900, None), (None, "one two three one two"), (901, "")], few.schema)).cache()
+    how = {"least_pairs": 2, "word_rounds": 3, "ridge": 0.5, "rounds": 3}
+    want = sorted(by_hand(spark, few, 1.0, **how).elements(), key=str)
+    for more in ({}, {"shard": 500}, {"frequent": 30}, {"frequent": 30, "shard": 500, "top_words": 1000}, {"shard": 500, "top_words": 1000}):  # 448 words are symbols
+        got = sorted(((r.doc_id, r.score) for r in lm_scoring.lm_scores(few, **how, **more).collect()), key=str)
+        assert [d for d, _ in got] == [d for d, _ in want] and all(abs(a[1] - b[1]) < 0.02 for a, b in zip(want, got, strict=True)), more
