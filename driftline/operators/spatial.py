@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,10 +14,15 @@ def cells(lat: Column, lon: Column, cell: float) -> tuple[Column, Column]:
     return F.floor(lat / cell), F.floor(lon / cell)
 
 
+def cells_of(axis: str, cell: float, slack: float, of: Callable[[Column], Column] = F.explode) -> Column:
+    """``of`` the cells along an axis that a segment's box, grown by ``slack`` degrees, touches."""
+    a, b = f"{axis}1", f"{axis}2"
+    return of(F.sequence(F.floor((F.least(a, b) - slack) / cell), F.floor((F.greatest(a, b) + slack) / cell)))
+
+
 def segment_cells(segments: DataFrame, cell: float, slack: float) -> DataFrame:
     """Segments (lat1, lon1, lat2, lon2) once for each cell that their box, grown by ``slack`` degrees, touches."""
-    span = lambda a, b: F.sequence(F.floor((F.least(a, b) - slack) / cell), F.floor((F.greatest(a, b) + slack) / cell))
-    return segments.withColumn("cell_lat", F.explode(span("lat1", "lat2"))).withColumn("cell_lon", F.explode(span("lon1", "lon2")))
+    return segments.withColumn("cell_lat", cells_of("lat", cell, slack)).withColumn("cell_lon", cells_of("lon", cell, slack))
 
 
 def projection(lat: Column, lon: Column, lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> tuple[Column, Column, Column]:

@@ -5,6 +5,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from driftline.operators import matching
 
@@ -226,3 +227,31 @@ def test_one_join_one_sort_and_an_empty_network(spark, network, drives):
     out = matching.greedy_match(df, network.limit(0), "session").collect()
     assert {r.status for r in out} == {"outside", "invalid"}
     assert matching.trellis_match(df.limit(0), network, "session").collect() == []
+
+
+@pytest.fixture(scope="module")
+def city(spark):
+    """A street grid of 60,000 segments out of 60,000 numbers, which Spark takes for half a megabyte."""
+    p = spark.range(60_000).select("id", (F.col("id") % 2).alias("up"), (F.floor(F.col("id") / 2) % 150).alias("i"), F.floor(F.col("id") / 300).alias("j"))
+    i2, j2 = F.col("i") + 1 - F.col("up"), F.col("j") + F.col("up")
+    corner = lambda i, j: (F.lit(12.89) + j * 0.0006, F.lit(77.49) + i * 0.0006)
+    (lat1, lon1), (lat2, lon2) = corner(F.col("i"), F.col("j")), corner(i2, j2)
+    way = F.when(F.col("up") == 1, F.col("i") * 2 + 1).otherwise(F.col("j") * 2)
+    return p.select(F.col("id").alias("segment"), (F.col("j") * 1000 + F.col("i")).alias("u"), (j2 * 1000 + i2).alias("v"), way.alias("way"), lat1.alias("lat1"), lon1.alias("lon1"), lat2.alias("lat2"), lon2.alias("lon2"))
+
+
+def broadcast_or_not(match, df, city, monkeypatch):
+    """Rows of a match whose network's cells are over the limit for a broadcast, and under it."""
+    plan = lambda x: x._jdf.queryExecution().executedPlan().toString()
+    large = match(df, city, "session")
+    assert "Broadcast" not in plan(large) and "CartesianProduct" not in plan(large)
+    rows = sorted(map(str, large.collect()))
+    monkeypatch.setattr(matching, "BROADCAST", 1 << 30)
+    small = match(df, city, "session")
+    assert "BroadcastHashJoin" in plan(small) and rows == sorted(map(str, small.collect()))
+    return rows
+
+
+def test_greedy_does_not_broadcast_a_large_network(drives, city, monkeypatch):
+    rows, df = drives
+    assert len(broadcast_or_not(matching.greedy_match, df, city, monkeypatch)) == sum(map(len, rows.values()))
