@@ -74,7 +74,7 @@ def with_candidates(fixes: DataFrame, segments: DataFrame, session: str, limits:
     """``fixes`` (session, t, fix, lat, lon, heading, accuracy, speed) with the arrays of their nearest segments and whether the network covers them.
 
     ``segments`` are (segment, u, v, way, lat1, lon1, lat2, lon2), ``fix`` is a number of its own. The left join is on grid cells no smaller
-    than the largest radius, and what is not near goes in it; ranks and arrays need no further shuffle than the one by fix. A fix has at most
+    than the largest radius, and what is out of reach goes in it; ranks and arrays need no further shuffle than the one by fix. A fix has at most
     ``limits.candidates``. The network is broadcast up to ``BROADCAST`` rows of cells, which are counted, since Spark's guess knows nothing of them.
     """
     slack = limits.most_radius / spatial.SPHERE_M * 57.29577951308232 * 1.05
@@ -85,26 +85,29 @@ def with_candidates(fixes: DataFrame, segments: DataFrame, session: str, limits:
     inside = (F.col("lat") >= low[0] - m) & (F.col("lon") >= low[1] - m) & (F.col("lat") <= low[2] + m) & (F.col("lon") <= low[3] + m)
     inside = F.lit(False) if box[0] is None else F.coalesce(inside, F.lit(False))
     grid = spatial.segment_cells(segments.select("segment", "u", "v", "way", "lat1", "lon1", "lat2", "lon2"), cell, slack)
-    grid = grid.withColumnsRenamed({"cell_lat": "grid_lat", "cell_lon": "grid_lon"}).withColumn("near", F.lit(True))
+    grid = grid.withColumnsRenamed({"cell_lat": "grid_lat", "cell_lon": "grid_lon"})
     if (stands or 0) > BROADCAST:
         grid = grid.hint("merge")
     lat, lon = spatial.cells(F.col("lat"), F.col("lon"), cell)
     metres = _metres("lat")
-    at = fixes.select(session, *FIX, lat.alias("cell_lat"), lon.alias("cell_lon"), metres[0].alias("north"), metres[1].alias("east"))
-    x1, y1, x2, y2 = ((F.col(f"lon{k}") - F.col("lon")) * F.col("east") if a == "x" else (F.col(f"lat{k}") - F.col("lat")) * F.col("north") for k in (1, 2) for a in "xy")
-    dx, dy = x2 - x1, y2 - y1
-    n = dx * dx + dy * dy
-    place = F.when(n > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(x1 * dx + y1 * dy) / n))).otherwise(F.lit(0.0))
-    ex, ey = x1 + place * dx, y1 + place * dy
-    distance = F.sqrt(ex * ex + ey * ey)
     radius = F.least(F.lit(limits.most_radius), F.greatest(F.lit(limits.least_radius), limits.sigmas * (F.col("accuracy") / CHI_95)))
-    met = at.join(grid, (F.col("cell_lat") == F.col("grid_lat")) & (F.col("cell_lon") == F.col("grid_lon")) & (distance <= radius), "left")
-    part = lambda a: F.col(f"{a}1") + place * (F.col(f"{a}2") - F.col(f"{a}1"))
+    at = fixes.select(session, *FIX, lat.alias("cell_lat"), lon.alias("cell_lon"), metres[0].alias("north"), metres[1].alias("east"), radius.alias("radius"))
+    # what is out of reach along an axis goes in the join, by short comparisons: Java does not compile long ones; the exact test follows
+    reach = lambda a, m: F.col(a).between(F.least(f"{a}1", f"{a}2") - 1.01 * F.col("radius") / F.col(m), F.greatest(f"{a}1", f"{a}2") + 1.01 * F.col("radius") / F.col(m))
+    met = at.join(grid, (F.col("cell_lat") == F.col("grid_lat")) & (F.col("cell_lon") == F.col("grid_lon")) & reach("lat", "north") & reach("lon", "east"), "left")
+    x1, y1, x2, y2 = ((F.col(f"lon{k}") - F.col("lon")) * F.col("east") if a == "x" else (F.col(f"lat{k}") - F.col("lat")) * F.col("north") for k in (1, 2) for a in "xy")
+    met = met.select("*", x1.alias("x1"), y1.alias("y1"), (x2 - x1).alias("dx"), (y2 - y1).alias("dy"))
+    n = F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")
+    place = F.when(n > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(F.col("x1") * F.col("dx") + F.col("y1") * F.col("dy")) / n))).otherwise(F.lit(0.0))
+    met = met.withColumn("place", place)
+    ex, ey = F.col("x1") + F.col("place") * F.col("dx"), F.col("y1") + F.col("place") * F.col("dy")
+    met = met.withColumn("distance_m", F.sqrt(ex * ex + ey * ey)).withColumn("near", F.coalesce(F.col("distance_m") <= F.col("radius"), F.lit(False)))
+    part = lambda a: F.col(f"{a}1") + F.col("place") * (F.col(f"{a}2") - F.col(f"{a}1"))
     # roads that meet in a fix's nearest corner are equally far: the lower segment comes first, whatever the last digits
-    met = met.select(session, *FIX, "near", F.round(distance, 6).alias("order"), *WHOLE, part("lat").alias("near_lat"), part("lon").alias("near_lon"), distance.alias("distance_m"), F.atan2(dx, dy).alias("heading_rad"))
-    w = Window.partitionBy("fix").orderBy(F.col("order").asc_nulls_last(), "segment")
+    met = met.select(session, *FIX, "near", F.round("distance_m", 6).alias("order"), *WHOLE, part("lat").alias("near_lat"), part("lon").alias("near_lon"), "distance_m", F.atan2("dx", "dy").alias("heading_rad"))
+    w = Window.partitionBy("fix").orderBy(F.when(F.col("near"), F.col("order")).asc_nulls_last(), "segment")
     found = F.when(F.col("near"), F.struct("order", "segment", "distance_m", "u", "v", "way", "near_lat", "near_lon", "heading_rad"))
-    ranked = met.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limits.candidates)
+    ranked = met.withColumn("rank", F.row_number().over(w)).filter((F.col("rank") == 1) | (F.col("near") & (F.col("rank") <= limits.candidates)))
     first = [F.first(c).alias(c) for c in (session, *[c for c in FIX if c != "fix"])]
     one = ranked.groupBy("fix").agg(*first, F.sort_array(F.collect_list(found)).alias("c"))
     return one.select(session, *FIX, inside.alias("covered"), *[F.col(f"c.{x}").alias(x) for x in (*WHOLE, *PARTS)])

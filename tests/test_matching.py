@@ -255,3 +255,25 @@ def broadcast_or_not(match, df, city, monkeypatch):
 def test_greedy_does_not_broadcast_a_large_network(drives, city, monkeypatch):
     rows, df = drives
     assert len(broadcast_or_not(matching.greedy_match, df, city, monkeypatch)) == sum(map(len, rows.values()))
+
+
+def test_trellis_does_not_broadcast_a_large_network(drives, city, monkeypatch):
+    _, df = drives
+    assert broadcast_or_not(matching.trellis_match, df, city, monkeypatch)
+
+
+def test_reach_loses_no_candidate(drives, city):
+    """Roads beside which a fix is just within its radius, slanting ones too, against all pairs."""
+    _, df = drives
+    slant = city.filter("segment < 30000").withColumn("lat2", F.col("lat2") + 0.0003).withColumn("lon2", F.col("lon2") - 0.0002)
+    lim = matching.Limits(candidates=100)
+    got = {(r.fix, s) for r in matching.with_candidates(df, slant, "session", lim).collect() for s in r.segment}
+    ids, lat1, lon1, lat2, lon2 = np.array([tuple(r) for r in slant.select("segment", "lat1", "lon1", "lat2", "lon2").collect()]).T
+    want = set()
+    for r in df.collect():
+        north, east = metres(r.lat)
+        x1, y1, x2, y2 = (lon1 - r.lon) * east, (lat1 - r.lat) * north, (lon2 - r.lon) * east, (lat2 - r.lat) * north
+        p = np.clip(-(x1 * (x2 - x1) + y1 * (y2 - y1)) / ((x2 - x1) ** 2 + (y2 - y1) ** 2), 0, 1)
+        near = np.hypot(x1 + p * (x2 - x1), y1 + p * (y2 - y1)) <= min(lim.most_radius, max(lim.least_radius, lim.sigmas * r.accuracy / math.sqrt(5.991)))
+        want |= {(r.fix, int(i)) for i in ids[near]}
+    assert got == want and len(want) > 50
