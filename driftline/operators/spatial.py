@@ -27,9 +27,10 @@ def segment_cells(segments: DataFrame, cell: float, slack: float) -> DataFrame:
 
 def projection(lat: Column, lon: Column, lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> tuple[Column, Column, Column]:
     """(metres, place in [0, 1], heading in radians) of a point's nearest point on a segment, in a flat frame at the point."""
-    k = F.cos(F.radians(lat)) * SPHERE_M
-    x1, y1 = F.radians(lon1 - lon) * k, F.radians(lat1 - lat) * SPHERE_M
-    x2, y2 = F.radians(lon2 - lon) * k, F.radians(lat2 - lat) * SPHERE_M
+    # in this order the last digits are those of the SQL: roads that meet in the nearest corner are ranked by them
+    c = F.cos(F.radians(lat))
+    x1, y1 = F.radians(lon1 - lon) * c * SPHERE_M, F.radians(lat1 - lat) * SPHERE_M
+    x2, y2 = F.radians(lon2 - lon) * c * SPHERE_M, F.radians(lat2 - lat) * SPHERE_M
     dx, dy = x2 - x1, y2 - y1
     n = dx * dx + dy * dy
     t = F.when(n > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(x1 * dx + y1 * dy) / n))).otherwise(F.lit(0.0))

@@ -67,3 +67,16 @@ def test_nothing_else_imports_the_training_data_operators():
             if n.endswith(".py"):
                 with open(f"{folder}/{n}") as f:
                     assert "llm" not in f.read()
+
+
+@pytest.mark.parametrize("name", ["point_to_segment"])
+def test_equally_far_roads_come_as_in_sql(name, spark, sf, tmp_path):
+    """Two fixes whose nearest corner two roads share: the last digit of the distance says which comes first."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events AS SELECT a AS event_id, TIMESTAMP '2024-01-01' AS ts, a // 9000 AS user_id, 'view' AS event_type, 1.0::DOUBLE AS value, '' AS props FROM (SELECT unnest([126259, 306009]) AS a)")
+    con.execute(f"CREATE TABLE nation AS SELECT * FROM '{sf}/nation.parquet'")
+    for t in ("events", "nation"):
+        con.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+    ours = plans.QUERIES[name](spark, str(tmp_path)).toArrow()
+    theirs = con.sql(plans.ORACLE_SQL[name]).to_arrow_table()
+    assert rows_of(ours) == rows_of(theirs) and ours.num_rows
