@@ -69,7 +69,7 @@ def test_nothing_else_imports_the_training_data_operators():
                     assert "llm" not in f.read()
 
 
-@pytest.mark.parametrize("name", ["point_to_segment"])
+@pytest.mark.parametrize("name", ["point_to_segment", "top8_nearest"])
 def test_equally_far_roads_come_as_in_sql(name, spark, sf, tmp_path):
     """Two fixes whose nearest corner two roads share: the last digit of the distance says which comes first."""
     con = duckdb.connect()
