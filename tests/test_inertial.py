@@ -4,8 +4,9 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from driftline.operators import inertial
+from driftline.operators import inertial, stacked
 
 A, F_ = 6378137.0, 1 / 298.257223563
 E2 = F_ * (2 - F_)
@@ -302,3 +303,43 @@ def test_the_queries_rows_equal_one_session_at_a_time(spark, sf):
                 assert r.outcome == outcome and np.allclose([r.px, r.py, r.vx, r.qz, r.baz], [one.p[0], one.p[1], one.v[0], one.q[3], one.c[2]], rtol=1e-6, atol=1e-7)
         off.append(math.hypot(one.p[0] - way[user, round(t, 3)][0], one.p[1] - way[user, round(t, 3)][1]))
     assert max(off) < 15 and len(off) == 4
+
+
+def running(rows, **limits):
+    """Running sums of x by session in order of t, and how many sessions the stack was made for."""
+
+    class Sums:
+        def __init__(self, n):
+            self.sum, self.made = np.zeros(n), n
+
+        def keep(self, on):
+            self.sum = self.sum[on]
+
+        def step(self, wave):
+            self.sum = self.sum + wave["x"].to_numpy()
+            return np.arange(len(self.sum)), {"t": wave["t"].to_numpy(), "sum": self.sum, "made": np.full(len(self.sum), self.made)}
+
+    return stacked.together(rows, "s", [F.col("t")], ["t", "x"], Sums, "t long, sum double, made long", **limits)
+
+
+def test_a_partition_of_many_sessions_is_not_one_stack(spark):
+    """What a task holds does not grow with the sessions that Spark deals to it."""
+    rows = spark.range(9000).select((F.col("id") % 3000).alias("s"), F.col("id").alias("t"), F.lit(1.0).alias("x")).coalesce(1)
+    got = running(rows).collect()
+    assert len(got) == 9000 and all(r["sum"] == r.t // 3000 + 1 for r in got)
+    assert max(r.made for r in got) <= 1024
+
+
+@pytest.mark.parametrize("limits", [{"block": 1}, {"block": 7, "wide": 3}, {"block": 40}, {"wide": 1}, {}])
+def test_blocks_of_sessions_change_nothing(spark, limits):
+    draw = np.random.default_rng(5)
+    given = [(None if s == 0 else s, t, float(draw.integers(9))) for s in range(25) for t in range(int(draw.choice([1, 2, 30])))]
+    rows = spark.createDataFrame([given[i] for i in draw.permutation(len(given))], "s int, t long, x double")
+    for dealt in (rows.coalesce(1), rows.repartition(5)):
+        got = running(dealt, **limits)
+        assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hash") <= 1
+        sums = {}
+        want = [(s, t, sums.setdefault(s, []).append(x) or sum(sums[s])) for s, t, x in given]
+        found = got.collect()
+        assert sorted(map(str, want)) == sorted(str((r.s, r.t, r["sum"])) for r in found)
+        assert all(r.made <= min(limits.get("block", 25), limits.get("wide", 25)) for r in found)
